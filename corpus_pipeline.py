@@ -1,4 +1,8 @@
-"""From raw documents to token counts: rules, near duplicates, personal data, mix, tokens."""
+"""From raw documents to token counts: rules, near duplicates, personal data, mix, tokens.
+
+A null text, source or lang passes every stage that does not judge it; empty tables give empty results; doc_id is unique
+in the first three stages, and repeated afterwards as often as the mix takes a document.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ngram_join, quality_rules
+from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, surrogates
 from millrace.llm._common import only_ids, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +29,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return only_ids(docs, gone, how="left_anti").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", rules), ("near duplicates", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data and secrets."""
+    return surrogates.replace(docs).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers of tokens, and digests of ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    return byte_bpe.digests(docs, public_tokenizers.path(RANKS))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", rules),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mix", mixed),
+    ("tokens", tokens),
+]
 
-#: The merge replay and the keyed surrogates are not expressible in SQL; tests hold the stages against brute force.
+#: Components, keyed surrogates and the merge replay are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

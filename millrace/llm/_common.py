@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most so many ids (16 bytes each in Spark's map of longs) may be broadcast; beyond it, both sides shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,7 +68,7 @@ def components(nodes: DataFrame | None, edges: DataFrame, rounds: int = 60) -> D
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(roots)
 
 
-def sized_join(df: DataFrame, edits: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS // 8) -> DataFrame:
+def sized_join(df: DataFrame, edits: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS // 16) -> DataFrame:
     """df with the columns of a written table that has at most one row a key. Few rows are broadcast after they are
     counted, so that long texts stay where they are; beyond the limit both sides are shuffled."""
     return df.join(F.broadcast(edits) if edits.count() <= limit else edits.hint("merge"), key, "left")

@@ -1,0 +1,250 @@
+"""Operators on texts against brute force, with the odd cases: nulls, empty and long texts, ties, copies, empty tables."""
+
+import base64
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, substring_dedup, surrogates
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def corpus(seed=5, n=120):
+    """Documents with copies, near copies, shared passages, one very long text, nulls and blanks."""
+    r = random.Random(seed)
+    lexicon = ["".join(r.choice("abcdéßñ") for _ in range(r.randint(1, 6))) for _ in range(400)]
+    prose = lambda k: " ".join(r.choice(lexicon) for _ in range(k))
+    passages = [prose(k) for k in (49, 50, 51, 90)]
+    out = []
+    for k in range(n):
+        t = prose(r.randint(1, 150))
+        if k % 4 == 0:
+            t = prose(r.randint(0, 20)) + " " + r.choice(passages) + "\n" + prose(r.randint(0, 20))
+        if k % 7 == 0 and out:
+            t = r.choice(out)
+        if k % 9 == 0 and out:
+            w = (r.choice(out) or "x").split()
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = r.choice(lexicon) if w else ""
+            t = " ".join(w) or "x"
+        out.append(t)
+    out += [None, "", " \t\n", "one", "one two", "ONE Two", "a b c", prose(9000), "z " * 3000, "z " * 2999, "\x0bv\x0cw\x1cx y z"]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("s0", "s1", None)[i % 3], t is None) for i, t in corpus()]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, key boolean").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def test_ngram_join(docs, empty):
+    for rule in (ngram_join.Rule(), ngram_join.Rule(width=5, percent=80)):
+        sets = {}
+        for i, t in corpus():
+            w = [x.lower() for x in words(t)]  # bytes: A-Z alone
+            k = rule.width
+            sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        root = {i: i for i in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= rule.percent * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs, rule).collect()}
+        assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    assert ngram_join.link(empty).count() == 0
+
+
+@pytest.mark.parametrize("population", [1, 10**4, 10**9, 10**13])
+def test_allocations_tolerate_what_linked_sets_may_differ_in(population):
+    rule = ngram_join.Rule()
+    for size in (1, 9, 12, 27, 500, 20000):
+        h = rule.differing(size, size)
+        m, deletions, spare = ngram_join.allocate(size, h, population)
+        assert m + deletions >= h + 1 + spare and deletions <= m
+
+
+def test_ngram_join_with_deletion_neighbourhoods(docs, monkeypatch):
+    plain = {tuple(r) for r in ngram_join.link(docs).collect()}
+    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, n: ((h + 3) // 2, (h + 3) // 2, 1) if h else (1, 0, 0))
+    assert {tuple(r) for r in ngram_join.link(docs).collect()} == plain
+
+
+def test_substring_dedup(docs, empty):
+    first, texts = {}, dict(corpus())
+    for i in sorted(texts):
+        w = words(texts[i])
+        for p in range(len(w) - 49):
+            first.setdefault(tuple(w[p : p + 50]), i)
+    want = {}
+    for i, t in texts.items():
+        w = words(t)
+        gone = set()
+        for p in range(len(w) - 49):
+            if first[tuple(w[p : p + 50])] < i:
+                gone |= set(range(p, p + 50))
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        want[i] = (len(w), len(gone), hashlib.sha256(left).hexdigest())
+    assert sum(x[1] for x in want.values()) > 1000
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(docs).collect()}
+    assert got == want
+    assert substring_dedup.dedup(docs, texts=True).where("sha2(kept_text, 256) <> kept_sha256").count() == 0
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_difference_cover():
+    c = substring_dedup.COVER
+    assert {(a - b) % substring_dedup.PERIOD for a in c for b in c} == set(range(substring_dedup.PERIOD))
+
+
+def test_quality_statistics(spark, docs, empty):
+    def brute(t):
+        t = t or ""
+        w = words(t)
+        grams = Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4))
+        again = set()
+        for p in range(len(w) - 4):
+            if grams[tuple(w[p : p + 5])] > 1:
+                again |= set(range(p, p + 5))
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if words(line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        return len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), dup, len(again), failed
+
+    odd = [(1000, "a b\na b\n a b\n\n\n#<>|", "s", False), (1001, "é " * 40, None, False)]
+    all_docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.verdicts(all_docs).collect()}
+    assert got == {i: brute(t) for i, t in [*corpus(), *[(a, b) for a, b, *_ in odd]]}
+    assert quality_rules.verdicts(empty).count() == 0 and quality_rules.apply(empty).count() == 0
+
+
+def test_frequent_lines_go_and_copies_do_not_make_lines_frequent(spark):
+    r = random.Random(3)
+    prose = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    menu, copy = "Home  | about us | CONTACT", "\n".join(prose(12) for _ in range(6))
+    rows = [(i, f"{prose(12)}\n{menu if i % 2 else menu.lower()}\n{prose(15)}", "host") for i in range(40)]
+    rows += [(100 + i, copy, "host") for i in range(60)]
+    rows += [(200 + i, menu + "\n" + prose(3), "host") for i in range(4)]
+    rows += [(300, f"{prose(20)}\n{menu}", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r for r in quality_rules.apply(docs).collect()}
+    assert sorted(kept) == [*range(40), *range(100, 160), 300]
+    assert all("bout" not in kept[i].text for i in range(40)) and kept[100].text == copy and "about" in kept[300].text
+
+
+def test_byte_bpe(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    alphabet = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "a", "Z", "é", "1", "²", "!", "...", "日本", "　", "\x85", "\x1c", "😀", "i̇", "\xa0"]
+    texts = [t for _, t in corpus()] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 30))) for _ in range(2000)] + ["a" * 5000, "<|endoftext|>"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(4)
+    got = {x.doc_id: x for x in byte_bpe.digests(df, path).collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids), t
+        assert got[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    some = byte_bpe.decode(byte_bpe.encode(df.limit(200), path), path, "ids_of_text").collect()
+    assert all(bytes(x.decoded) == (x.text or "").encode() for x in some)
+    assert byte_bpe.digests(empty, path).count() == 0
+
+
+def test_surrogates(spark, docs, empty):
+    rows = [
+        (1, "Dear Mrs Anna Müller, call John Smith or Mr. Smith."),
+        (2, "a.b@mail1.example.com A.B@MAIL1.EXAMPLE.COM c.d@mail1.example.com +1 (017) 555-7713 or +1 017 555 7713"),
+        (3, "10.0.0.1, 4111-1111-1111-1111 4111111111111111 token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\" IBAN DE89 3704 0044 0532 0130 00"),
+        (4, None),
+        (5, ""),
+        (6, "nothing to see: 12 or 3.5 and mail"),
+        (7, "Иван Петров and Mr. Smith"),
+        (8, "10.0.0.1"),
+        (8, "10.0.0.1"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(map(tuple, surrogates.replace(df, "k").collect()), key=lambda x: x[0])
+    text = {i: t for i, t, _ in out}
+    n = {i: k for i, _, k in out}
+    assert text[4] is None and text[5] == "" and text[6] == rows[5][1] and n[6] == 0 and len(out) == len(rows)
+    one = text[1].replace(",", "").replace(".", "").split()
+    assert one[:2] == ["Dear", "Mrs"] and one[2].lower() in [x.lower() for x in surrogates.GIVEN_F] and one[3] != "Müller"
+    smith = one[6]
+    assert one[5].lower() in [x.lower() for x in surrogates.GIVEN_M] and one[-1] == smith and text[7].endswith(f"Mr. {smith}")
+    a, b, c = text[2].split()[:3]
+    assert a.upper() == b and a != c and a.count("@") == 1 and a.endswith(".com") and "a.b@" not in text[2]
+    phones = text[2].split(".com ", 3)[-1].split(" or ")
+    digits = ["".join(x for x in p if x.isdigit()) for p in phones]
+    assert digits[0] == digits[1] != "10175557713" and phones[0][2:4] == " ("
+    assert text[3].startswith(text[8] + ",") and "10.0.0.1" not in text[3] and "4111" not in text[3] and "b44e15e0" not in text[3]
+    cards = text[3].split(", ")[1].split()[:2]
+    assert cards[0].replace("-", "") == cards[1] and "0532" not in text[3]
+    assert "Иван" not in text[7] and text[7].split()[0] in surrogates.GIVEN_M
+    again = sorted(map(tuple, surrogates.replace(df.repartition(3), "k").collect()), key=lambda x: x[0])
+    assert again == out and sorted(map(tuple, surrogates.replace(df, "other").collect()), key=lambda x: x[0]) != out
+    assert surrogates.replace(empty).count() == 0
+    assert surrogates.replace(docs).count() == docs.count()
+
+
+def test_surrogates_stay_distinct_where_room_is_little(spark):
+    rows = [(i, f"{i}@b.c {i % 10}.{i // 10}.0.1") for i in range(90)]
+    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    before, after = [x for _, t in rows for x in t.split()], [x for r in sorted(out) for x in r.text.split()]
+    of = dict(zip(before, after))
+    assert len(set(of.values())) == len(of) and not set(of.values()) & set(before)
+
+
+def test_mixing(spark, docs, empty):
+    slim, plan = mixing.plan(docs)
+    rows = mixing.rated(slim, plan).collect()
+    texts = dict(corpus())
+    size = {i: len(words(t)) for i, t in texts.items()}
+    total = defaultdict(int)
+    for r in rows:
+        assert r["size"] == size[r.doc_id] and 0 <= r.copies <= 2
+        total[r.source] += r["size"]
+    order = sorted((s for s in total if s is not None)) + [None]
+    weight = dict(zip(order, (3, 1, 2)))
+    goal, free = 1.5 * sum(total.values()), dict(weight)
+    want = {}
+    while True:
+        over = [s for s in free if goal * free[s] / sum(free.values()) > 2 * total[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 2.0 * total[s]
+            goal -= want[s]
+            del free[s]
+    want |= {s: goal * w / sum(free.values()) for s, w in free.items()}
+    largest = max(size.values())
+    for s in order:
+        mine = [r for r in rows if r.source == s]
+        assert abs(mine[0].target - want[s]) < 1e-6 * want[s]
+        assert abs(sum(r.rate * r["size"] for r in mine) - want[s]) < 1e-6 * want[s]
+        assert abs(sum(r.copies * r["size"] for r in mine) - want[s]) <= largest
+    assert mixing.mix(docs).count() == sum(r.copies for r in rows) and mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(empty).count() == 0
