@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, ngram_join, quality_rules, substring_dedup, surrogates
+from . import byte_bpe, embedding_join, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, substring_dedup, surrogates
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,10 +22,31 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality_fm.train(docs, labels.where(~language_id.held_out()))
+    return quality_fm.score(docs, machine).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +67,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_ngram_join, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_surrogates)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_license_scan, op4_ngram_join, op5_quality_fm, op6_embedding_join, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
