@@ -21,7 +21,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 2 << 20
+#: Temporary arrays are up to 8 times a slice, the tables of powers 16 times it.
+SLICE_BYTES = (1 << 20) - 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
