@@ -138,3 +138,17 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def firsts(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (h, doc) of the first row of each pair; whether it is the first of its h; whether its h has more documents."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    order, h = order[new], h[new]
+    lead = np.ones(len(h), bool)
+    lead[1:] = h[1:] != h[:-1]
+    more = np.zeros(len(h), bool)
+    more[:-1] = ~lead[1:]
+    return order, lead, more

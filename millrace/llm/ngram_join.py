@@ -7,10 +7,12 @@ indexed by its subset alone (tolerates 0 differences) or by its subset and all s
 For each band the number of segments and of deletion neighbourhoods is the cheapest by a cost model: keys written, and
 chance candidates, from the number of sets in the band (counted over all documents). Any allocation is exact.
 
-Empty segments would be one key for all, so each band has one segment to spare and a set leaves out its empty segments
-unless it has more than are to spare. Sets near a band's upper end are indexed in the next band too.
+A set indexes but the first segments, as many as its own size asks for: of two sets the shorter run is common to both.
+Empty segments would be one key for all, so each set has one segment to spare and leaves out its empty segments unless
+it has more than are to spare. Sets near a band's upper end are indexed in the next band too.
 
-Candidates are never all pairs of a key's members: equal sets are one node, and in each round members are compared with
+What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of
+all sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: equal sets are one node, and in each round members are compared with
 one pivot of the key, members already connected to it being left out; what is still in different components of a key
 after the rounds is compared pair by pair. A parity bitmap of 1024 bits rules out pairs first (its distance is never
 above the difference of the sets); every other pair is verified on the shingles of the whole texts.
@@ -27,16 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, only_ids, written
-from ._words import U, Words, mix, slices, sums, utf8, windows
+from ._words import U, Words, firsts, mix, slices, sums, utf8, windows
 
 BITS = 1024
 BAND_GROWTH = 1.5
 #: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results.
-SHARED = 0.25
+SHARED = 0.05
 PIVOT_ROUNDS = 2
 
 
@@ -119,25 +121,31 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def signatures(docs: DataFrame, rule: Rule, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    """(key, doc_id) of every indexed segment subset. plan: by band, what allocate() gives."""
+    """(part, key, doc_id, known) of every indexed segment subset. plan: by band, what allocate() gives. The first set of
+    a block that has a key stands for all with key null and part the key; the others are known to share it."""
     bands = rule.bands()
     least = rule.percent / 100
 
-    def keys(x: np.ndarray, doc: np.ndarray, band: np.ndarray, docs_: int) -> tuple[np.ndarray, np.ndarray]:
-        m, deletions, spare = (np.array([plan[int(b)][k] if b >= 0 else 0 for b in band], np.int64) for k in range(3))
+    def keys(x: np.ndarray, doc: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, deletions, spare = (np.array([plan[b][k] if b in plan else 0 for b in band.tolist()], np.int64) for k in range(3))
         x, doc = x[m[doc] > 0], doc[m[doc] > 0]
         start = np.concatenate([[0], np.cumsum(m)])
         value = mix(x ^ U(0xD6E8FEB86659FD93))
         segment = ((x >> U(16)) % np.maximum(m, 1)[doc].astype(U)).astype(np.int64)
+        top = np.where(m > 0, bands[np.minimum(band, len(bands) - 2) + 1] - 1, 0)
+        need = rule.differing(n, np.minimum(top, n * 100 // rule.percent)) + 1 + spare  # tolerance that this size asks for
+        run = np.minimum(m, np.where(need - deletions >= deletions, need - deletions, (need + 1) // 2))
+        used = segment < run[doc]
+        x, doc, value, segment = x[used], doc[used], value[used], segment[used]
         at = start[doc] + segment
         total, count = np.zeros(start[-1], U), np.bincount(at, minlength=start[-1])
         np.add.at(total, at, value)
-        owner = np.repeat(np.arange(docs_), m)
+        owner = np.repeat(np.arange(len(n)), m)
         place = np.arange(start[-1]) - start[owner]
         salt = mix((band[owner].astype(U) << U(44)) ^ place.astype(U))
-        empty = np.zeros(docs_ + 1, np.int64)
-        np.add.at(empty, owner[count == 0], 1)
-        whole = (count > 0) | (empty[owner] > spare[owner])
+        mine = place < run[owner]
+        empty = np.bincount(owner[mine & (count == 0)], minlength=len(n))
+        whole = mine & ((count > 0) | (empty[owner] > spare[owner]))
         near = segment < deletions[doc]
         return np.concatenate([mix(total[whole] ^ salt[whole]), mix((total[at[near]] - value[near]) ^ salt[at[near]])]), np.concatenate([owner[whole], doc[near]])
 
@@ -145,18 +153,24 @@ def signatures(docs: DataFrame, rule: Rule, plan: dict[int, tuple[int, int, int]
         for batch in batches:
             data, offsets = utf8(batch["text"])
             ids = np.asarray(batch["doc_id"])
+            found, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for i, j in slices(offsets):
                 x, first = shingles(Words(data, offsets, i, j, lower=True), rule.width)
                 n = np.diff(first)
                 doc = np.repeat(np.arange(j - i), n)
                 band = np.searchsorted(bands, n, "right") - 1
                 above = np.where((n > 0) & (n >= least * bands[np.minimum(band + 1, len(bands) - 1)] - 1e-9), band + 1, -1)
-                above = np.array([b if b in plan else -1 for b in above.tolist()], np.int64)  # no set has that size
                 for b in (band, above):
-                    key, of_doc = keys(x, doc, b, j - i)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[i + of_doc])], names=["key", "doc_id"])
+                    key, of_doc = keys(x, doc, n, b)
+                    found.append(key)
+                    owners.append(ids[i + of_doc])
+            key, doc = np.concatenate(found), np.concatenate(owners)
+            order, lead, more = firsts(key, doc)
+            key, doc = key[order], doc[order]
+            part = np.where(lead, key, mix(key ^ mix(doc.view(U))))
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(key.view(np.int64), mask=lead), pa.array(doc), pa.array(~lead | more)], names=["part", "key", "doc_id", "known"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(of, "part long, key long, doc_id long, known boolean")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -196,7 +210,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
     found = written(features(docs, rule), "features")
     full = found.where("n > 0")
-    classes = full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id"))
+    classes = written(full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
     member = written(found.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")), "member")
     copies = written(member.where("doc_id <> class_id").select("doc_id"), "copies")
     nodes = only_ids(docs.select("doc_id", "text"), copies, how="left_anti")
@@ -211,9 +225,9 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         top = int(bands[k + 1]) - 1
         plan[k] = allocate(top, rule.differing(top, top), sizes[k] + sizes.get(k - 1, 0))
 
-    keys = signatures(nodes, rule, plan)
-    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared")
-    members = written(keys.join(shared.hint("merge"), "key").distinct(), "members")
+    w = Window.partitionBy("part")
+    rows = signatures(nodes, rule, plan).withColumns({"lo": F.min("doc_id").over(w), "hi": F.max("doc_id").over(w), "any": F.max("known").over(w)})
+    members = written(rows.where("lo < hi or any").select(F.coalesce("key", "part").alias("key"), "doc_id").distinct(), "members")
     marks = written(found.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "bits"), "marks")
 
     def with_marks(pairs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import only_ids, written
-from ._words import U, Words, mix, slices, utf8, windows
+from ._words import U, Words, firsts, mix, slices, utf8, windows
 
 WINDOW = 50
 #: A perfect difference cover; every residue modulo 31 is a difference of two of its six places.
@@ -43,20 +43,6 @@ def _anchors(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, windows(h, at, ANCHOR)
 
 
-def _firsts(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (h, doc) of the first row of each pair; whether it is the first of its h; whether its h has more documents."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    order, h = order[new], h[new]
-    lead = np.ones(len(h), bool)
-    lead[1:] = h[1:] != h[:-1]
-    more = np.zeros(len(h), bool)
-    more[:-1] = ~lead[1:]
-    return order, lead, more
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch["text"])
@@ -68,7 +54,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hs.append(x)
             docs.append(ids[i + w.doc[at]])
         h, doc = np.concatenate(hs), np.concatenate(docs)
-        order, lead, more = _firsts(h, doc)
+        order, lead, more = firsts(h, doc)
         h, doc = h[order], doc[order]
         key = np.where(lead, h, mix(h ^ doc.astype(U)))  # what is known already is dealt out evenly
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(~lead | more)], names=["key", "h", "doc_id", "known"])
@@ -105,7 +91,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, x in zip(cols, (windows(h, at, WINDOW), windows(w.hashes(2), at, WINDOW, 3), ids[i + w.doc[at]], w.position(at))):
                 c.append(x)
         h, g, doc, place = (np.concatenate(c) for c in cols)
-        order, lead, _ = _firsts(h ^ mix(g), doc)
+        order, lead, _ = firsts(h ^ mix(g), doc)
         h, g, doc, place = h[order], g[order], doc[order], place[order]
         # a document of the block with a smaller id has it: known, as runs of places
         d, p = doc[~lead], place[~lead]
