@@ -27,12 +27,12 @@ def _user(c: str = "user_id"):
     return F.concat(F.lit("u/"), F.lpad(F.col(c).cast("string"), 5, "0"), F.lit("/"))
 
 
-_RANGE = (F.col("event_type") == "signup") & (F.col("event_id") % 100 < 10)
+_RANGE = "event_type = 'signup' AND event_id % 100 < 10"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, p, l, n, type, len, event_id"""
-    e = events(spark, sf_dir).where(~_RANGE)
+    e = events(spark, sf_dir).where(f"NOT ({_RANGE})")
     return e.select(
         F.concat(_user(), (F.col("k") % 10).cast("string")).alias("key"), "p", "l", "n", F.when(F.col("event_type") == "error", 2).otherwise(1).alias("type"),
         F.round(F.col("value") * 100).cast("bigint").alias("len"), "event_id",
