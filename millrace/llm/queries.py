@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_join, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, substring_dedup, surrogates
+from . import byte_bpe, embedding_join, language_id, license_scan, mixing, ngram_join, oracles, quality_fm, quality_rules, substring_dedup, surrogates
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -34,7 +34,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents"))
+    return ngram_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_license_scan": oracles.licenses(),
+        "op4_ngram_join": oracles.ngram_join(),
+        "op6_embedding_join": oracles.embedding_join(),
+        "op8_quality_rules": oracles.rules(),
+        "op9_substring_dedup": oracles.substring_dedup(),
+    }
