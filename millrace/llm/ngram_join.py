@@ -8,8 +8,10 @@ For each band the number of segments and of deletion neighbourhoods is the cheap
 chance candidates, from the number of sets in the band (counted over all documents). Any allocation is exact.
 
 A set indexes but the first segments, as many as its own size asks for: of two sets the shorter run is common to both.
-Empty segments would be one key for all, so each set has one segment to spare and leaves out its empty segments unless
-it has more than are to spare. Sets near a band's upper end are indexed in the next band too.
+Segments of few shingles would be shared by chance, so there are some segments to spare: a set leaves out its plain
+segments of up to w shingles, for the largest w (at most WEAK) that leaves out no more than are to spare. Of two sets the
+one with the larger w still holds a segment equal in both, which the other holds too. Segments with deletions are never
+left out. Sets near a band's upper end are indexed in the next band too.
 
 What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of
 all sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: equal sets are one node, and in each round members are compared with
@@ -40,6 +42,8 @@ BAND_GROWTH = 1.5
 #: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results.
 SHARED = 0.05
 PIVOT_ROUNDS = 2
+#: Segments of so few shingles may be left out, and this share of segments is to spare for it.
+WEAK, SPARE = 4, 0.15
 
 
 @dataclass(frozen=True)
@@ -67,14 +71,15 @@ def allocate(size: int, differing: int, population: int) -> tuple[int, int, int]
     best = None
     if differing == 0:
         return 1, 0, 0
-    for m in sorted({1, *np.linspace((differing + 3) // 2, differing + 2, 24).astype(int).tolist()}):
-        spare = int(m > 1)
+    room = 1 + int(SPARE * (differing + 1))
+    for m in sorted({1, *np.linspace((differing + 2) // 2, differing + 1 + room, 24).astype(int).tolist()}):
+        spare = room if m > differing + 1 else 0
         deletions = max(0, differing + 1 + spare - m)
         if deletions > m:
             continue
         n = size / m
         keys = m + deletions * n
-        chance = population * ((m - deletions) * SHARED**n + deletions * (1 + n) * SHARED ** max(n - 1, 0))
+        chance = population * ((m - deletions) * SHARED**n + deletions * (1 + n) * (SHARED ** max(n - 1, 0) + np.exp(-n)))
         if best is None or keys + chance < best[0]:
             best = (keys + chance, m, deletions, spare)
     return best[1:]
@@ -144,8 +149,12 @@ def signatures(docs: DataFrame, rule: Rule, plan: dict[int, tuple[int, int, int]
         place = np.arange(start[-1]) - start[owner]
         salt = mix((band[owner].astype(U) << U(44)) ^ place.astype(U))
         mine = place < run[owner]
-        empty = np.bincount(owner[mine & (count == 0)], minlength=len(n))
-        whole = mine & ((count > 0) | (empty[owner] > spare[owner]))
+        plain = mine & (place >= deletions[owner])
+        out = np.full(len(n), -1)  # the largest count left out
+        for w in range(WEAK + 1):
+            weak = np.bincount(owner[plain & (count <= w)], minlength=len(n))
+            out = np.where((weak <= spare) & (out == w - 1), w, out)
+        whole = mine & ~(plain & (count <= out[owner]))
         near = segment < deletions[doc]
         return np.concatenate([mix(total[whole] ^ salt[whole]), mix((total[at[near]] - value[near]) ^ salt[at[near]])]), np.concatenate([owner[whole], doc[near]])
 
@@ -199,11 +208,15 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(of, "a long, b long")
 
 
+def apart(bits_a: str, bits_b: str):
+    """In how many bits two bitmaps differ."""
+    return F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def near(bits_a: str, bits_b: str, n_a: str, n_b: str, rule: Rule):
-    """Whether the bitmaps allow the pair to link: parity differs in no more bits than the sets may in shingles."""
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Whether sizes and bitmaps allow the pair to link: parity differs in no more bits than the sets may in shingles."""
     most = F.floor((F.col(n_a) + F.col(n_b)) * (100 - rule.percent) / (100 + rule.percent) + F.lit(1e-9))
-    return apart <= most
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * rule.percent) & (apart(bits_a, bits_b) <= most)
 
 
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -232,7 +245,8 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def with_marks(pairs: DataFrame) -> DataFrame:
         a, b = (marks.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").where(near("bits_a", "bits_b", "n_a", "n_b", rule)).select("a", "b")
+        both = pairs.join(a, "a").join(b, "b").where(near("bits_a", "bits_b", "n_a", "n_b", rule))
+        return both.select("a", "b", apart("bits_a", "bits_b").alias("apart"))
 
     links = tested = None
     comp = members.select("doc_id", F.col("doc_id").alias("comp")).distinct()
@@ -241,9 +255,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         pivot = (F.min, F.max)[k % 2](F.struct("doc_id", "comp")).alias("p")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).where("lo < hi")
         if k < PIVOT_ROUNDS:
-            pairs = now.join(open_keys.select("key", "p"), "key").where(F.col("comp") != F.col("p.comp"))
-            pairs = pairs.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
-            pairs = with_marks(pairs)
+            met = now.join(open_keys.select("key", "p"), "key").where(F.col("comp") != F.col("p.comp"))
+            met = with_marks(met.select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b")).distinct())
+            best = met.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))  # the rest is left to the rounds after
+            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             rest = written(now.join(open_keys.select("key"), "key", "left_semi").join(marks, "doc_id"), "open")
             a, b = (rest.select("key", F.col("doc_id").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")

@@ -83,7 +83,7 @@ def test_allocations_tolerate_what_linked_sets_may_differ_in(population):
 
 def test_ngram_join_with_deletion_neighbourhoods(docs, monkeypatch):
     plain = {tuple(r) for r in ngram_join.link(docs).collect()}
-    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, n: ((h + 3) // 2, (h + 3) // 2, 1) if h else (1, 0, 0))
+    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, n: ((h + 2) // 2, (h + 2) // 2, 0) if h else (1, 0, 0))
     assert {tuple(r) for r in ngram_join.link(docs).collect()} == plain
 
 
