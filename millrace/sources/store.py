@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import partition_of, partition_of_key, valid_key
+from ..operators.blob import latest_parts
 from ..operators.clock import HybridClock
-from ..operators.compaction import compact
+from ..operators.compaction import compact, expired_uploads, referenced
 from ..operators.resolve import live, max_clock
 
 FACTS = (
@@ -24,6 +25,10 @@ FACTS = (
     "parts array<struct<len:bigint,chunk:int,crc:bigint,segs:array<struct<blob:bigint,first:bigint,last:bigint>>>>, owner string, grants array<struct<grantee:string,ops:array<string>>>"
 )
 RANGES = "s string, e string, p bigint, l int, n int"
+CHUNKS = "blob bigint, entry_id bigint, crc bigint, data binary"
+UPLOADS = "upload_id string, key string, content_type string, created_at bigint, open boolean, seq bigint"
+PARTS = "upload_id string, part_number int, seq bigint, len bigint, chunk int, crc bigint, blob bigint"
+KINDS = {"ranges": RANGES, "chunks": CHUNKS, "uploads": UPLOADS, "parts": PARTS}
 
 
 @dataclass
@@ -31,6 +36,9 @@ class Snapshot:
     version: int = 0
     facts: list[str] = field(default_factory=list)
     ranges: list[str] = field(default_factory=list)
+    chunks: list[str] = field(default_factory=list)
+    uploads: list[str] = field(default_factory=list)
+    parts: list[str] = field(default_factory=list)
     obsolete: list[str] = field(default_factory=list)
 
 
@@ -100,9 +108,13 @@ class Bucket:
             df = df.where((F.col("part") == partition_of_key(key, self.partition_count)) & (F.col("key") == key))
         return df.drop("part")
 
+    def rows(self, kind: str, version: int | None = None) -> DataFrame:
+        """All rows of ranges, chunks, uploads or parts."""
+        files = getattr(self.snapshot(version), kind)
+        return self.spark.read.schema(KINDS[kind]).parquet(*[f"{self.path}/{f}" for f in files]) if files else self.spark.createDataFrame([], KINDS[kind])
+
     def ranges(self, version: int | None = None) -> DataFrame:
-        files = self.snapshot(version).ranges
-        return self.spark.read.schema(RANGES).parquet(*[f"{self.path}/{f}" for f in files]) if files else self.spark.createDataFrame([], RANGES)
+        return self.rows("ranges", version)
 
     def live(self, version: int | None = None) -> DataFrame:
         return live(self.log(version=version), self.ranges(version))
@@ -111,10 +123,10 @@ class Bucket:
         """The live fact of one key, or no row."""
         return live(self.log(key), self.ranges())
 
-    def commit(self, facts: DataFrame | None = None, ranges: DataFrame | None = None) -> int:
-        """Appends stamped facts and range deletions as one version."""
+    def commit(self, facts: DataFrame | None = None, **more: DataFrame) -> int:
+        """Appends stamped facts, ranges, chunks, uploads and parts as one version."""
         old = self.snapshot()
-        new = Snapshot(old.version + 1, list(old.facts), list(old.ranges), list(old.obsolete))
+        new = replace(old, version=old.version + 1, facts=list(old.facts))
         if facts is not None:
             have = set(facts.columns)
             schema = self.spark.createDataFrame([], FACTS).schema
@@ -122,8 +134,10 @@ class Bucket:
             if not rows.where(~valid_key(F.col("key"))).isEmpty():
                 raise ValueError("a key is empty or too long")
             new.facts.append(self._write(rows, "facts", True))
-        if ranges is not None:
-            new.ranges.append(self._write(ranges, "ranges", False))
+        for kind, rows in more.items():
+            schema = self.spark.createDataFrame([], KINDS[kind]).schema
+            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+            setattr(new, kind, [*getattr(old, kind), self._write(rows.sortWithinPartitions(rows.columns[0]), kind, False)])
         self._publish(new)
         return new.version
 
@@ -131,16 +145,45 @@ class Bucket:
         """All files into one, as the bottommost compaction; the old files are obsolete until collect()."""
         old = self.snapshot()
         facts, ranges = compact(self.log(), self.ranges(), True, now, grace)
-        new = Snapshot(old.version + 1, [self._write(facts, "facts", True)], [self._write(ranges, "ranges", False)], [*old.obsolete, *old.facts, *old.ranges])
+        new = replace(old, version=old.version + 1, facts=[self._write(facts, "facts", True)], ranges=[self._write(ranges, "ranges", False)], obsolete=[*old.obsolete, *old.facts, *old.ranges])
+        self._publish(new)
+        return new.version
+
+    def referenced_blobs(self) -> DataFrame:
+        """Blobs that a fact or an open upload refers to."""
+        of_facts = self.log().select(F.explode("parts").alias("x")).select(F.explode("x.segs").alias("y")).select(F.col("y.blob").alias("blob"))
+        return referenced(of_facts, latest_parts(self.rows("parts")).join(self.open_uploads().select("upload_id"), "upload_id"))
+
+    def open_uploads(self) -> DataFrame:
+        last = self.rows("uploads").groupBy("upload_id").agg(F.max(F.struct("seq", "open", "key", "content_type", "created_at")).alias("w"))
+        return last.where("w.open").select("upload_id", "w.key", "w.content_type", "w.created_at")
+
+    def drop_orphans(self) -> int:
+        """Rewrites the chunks that are still referred to; the old chunk files become obsolete."""
+        old = self.snapshot()
+        kept = self.rows("chunks").join(self.referenced_blobs(), "blob", "left_semi")
+        new = replace(old, version=old.version + 1, chunks=[self._write(kept.sortWithinPartitions("blob"), "chunks", False)], obsolete=[*old.obsolete, *old.chunks])
         self._publish(new)
         return new.version
 
+    def maintain(self, now: int, grace: int, upload_ttl: int, passes: int = 1) -> None:
+        """A bounded round of upkeep: compaction, old uploads, orphaned chunks, then files no snapshot needs."""
+        for _ in range(passes):
+            if len(self.snapshot().facts) > 1:
+                self.compact(now, grace)
+        old = expired_uploads(self.open_uploads(), now, upload_ttl)
+        if not old.isEmpty():
+            self.commit(uploads=old.select("*", F.lit(False).alias("open"), F.lit(self.clock.tick()[0] * 1_000_000).cast("bigint").alias("seq")))
+        if self.snapshot().chunks:
+            self.drop_orphans()
+        self.collect()
+
     def collect(self) -> int:
         """Deletes the obsolete files, then says so in a version of its own; readers of older versions must be gone."""
         old = self.snapshot()
         for f in old.obsolete:
             self._fs.delete(self._path(f), True)
-        self._publish(Snapshot(old.version + 1, old.facts, old.ranges, []))
+        self._publish(replace(old, version=old.version + 1, obsolete=[]))
         return len(old.obsolete)
 
     def view(self, name: str) -> DataFrame:

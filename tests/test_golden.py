@@ -1,5 +1,7 @@
 """Known cases: scans, deletions, copies, multipart, compaction, text formats, clocks, the store, streams."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,14 +203,14 @@ def test_clock(spark):
 def test_store(spark, tmp_path):
     b = Bucket(spark, f"{tmp_path}/bucket", 4)
     put = lambda p, *ks: spark.createDataFrame([(k, p, 0, 0, PUT, p) for k in ks], FACT)
-    assert b.commit(put(1, "a", "b", "c")) == 1 and b.commit(put(2, "b"), ranges(spark, ("c", "d", 3, 0, 0))) == 2
+    assert b.commit(put(1, "a", "b", "c")) == 1 and b.commit(put(2, "b"), ranges=ranges(spark, ("c", "d", 3, 0, 0))) == 2
     assert keys(b.live()) == ["a", "b"] and keys(b.live(1)) == ["a", "b", "c"] and b.get("b").first().p == 2 and b.get("zz").isEmpty()
     plan = b.log("a")._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and f"(part#" in plan
+    assert "PartitionFilters" in plan and "(part#" in plan
     old = b.snapshot()
-    b._publish(type(old)(old.version + 1, old.facts, old.ranges))
+    b._publish(dataclasses.replace(old, version=old.version + 1))
     with pytest.raises(Conflict):
-        b._publish(type(old)(old.version + 1, old.facts, old.ranges))
+        b._publish(dataclasses.replace(old, version=old.version + 1))
     orphan = b._write(put(9, "lost"), "facts", True)  # a crash before the snapshot is published
     assert orphan and keys(b.live()) == ["a", "b"]
     b.compact(10**6, 100)
