@@ -136,7 +136,8 @@ def apply(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents kept, with all their columns, without the lines that went. doc_id is unique here."""
     found = verdicts(docs, host).where(~F.col("kept") | F.col("dropped").isNotNull())
     edits = written(found.select("doc_id", "kept", "dropped"), "edits")
-    both = sized_join(docs, edits.withColumnsRenamed({"kept": "_kept", "dropped": "_dropped"}))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return both.where(F.coalesce("_kept", F.lit(True))).withColumn("text", text).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")  # whatever else docs has cannot clash
+    both = sized_join(rows, edits)
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return both.where(F.coalesce("kept", F.lit(True))).select(F.col("row").withField("text", text).alias("row")).select("row.*")

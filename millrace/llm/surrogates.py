@@ -193,8 +193,10 @@ def replace(docs: DataFrame, key: str = "millrace", text: str = "text") -> DataF
     whole = told.groupBy("_text_md5").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("x"), (F.max("at") + 1).alias("_n"))
     by_entity = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.array_join(F.transform(F.filter("x", lambda y: y["at"] == i), lambda y: y["new"]), ""))
     edits = written(whole.select("_text_md5", by_entity.alias("_new")), "edits")
-    both = sized_join(docs.withColumn("_text_md5", F.md5(t)), edits, "_text_md5")
-    gaps = F.split(t, ENTITY)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), t.alias("t"), F.md5(t).alias("_text_md5"))  # whatever docs has cannot clash
+    both = sized_join(rows, edits, "_text_md5")
+    gaps = F.split("t", ENTITY)
     spliced = F.array_join(F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    out = both.withColumn(text, F.when(F.col("_new").isNull(), t).otherwise(spliced)).withColumn("_entities", F.coalesce(F.size("_new"), F.lit(0)).cast("long"))
-    return out.select(*docs.columns, F.when(F.col("_new").isNull(), F.lit(0)).otherwise(F.col("_entities")).cast("long").alias("_entities"))
+    changed = F.col("_new").isNotNull()
+    row = F.when(changed, F.col("row").withField(text, spliced)).otherwise(F.col("row")).alias("row")
+    return both.select(row, F.when(changed, F.size("_new")).otherwise(0).cast("long").alias("_entities")).select("row.*", "_entities")
