@@ -20,7 +20,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, written
@@ -65,18 +65,25 @@ def _rows(least: float, probe: bool):
     return of
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; the vectors are scaled first so that no square is lost."""
+def _verified(least: float):
+    """Of rows (a, b, n_a, n_b, x, y) those whose vectors have the cosine, in double precision; vectors are scaled by
+    their largest component first, so that no square is lost."""
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-
-    def unit(x: Column) -> Column:
-        top = F.array_max(F.transform(x, F.abs))
-        return F.transform(x, lambda p: p / top)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            (xs, cut), (ys, cut_y) = ((np.asarray(batch[c].values), np.asarray(batch[c].offsets)) for c in "xy")
+            lengths = np.diff(cut)
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                x, y = xs[cut[at][:, None] + np.arange(d)], ys[cut_y[at][:, None] + np.arange(d)]
+                x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
+                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+                keep[at] = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))) >= least
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in ("a", "b", "n_a", "n_b")], names=["a", "b", "n_a", "n_b"])
 
-    a, b = unit(a), unit(b)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return of
 
 
 def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -99,7 +106,7 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     x = nodes.select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("embedding").alias("x"), F.col("n").alias("n_a"))
     y = nodes.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("embedding").alias("y"), F.col("n").alias("n_b"))
     both = pairs.join(x, "a").join(y, "b").where((F.col("label_a") == F.col("label_b")) & (F.size("x") == F.size("y")))
-    links = written(both.where(cosine(F.col("x"), F.col("y")) >= least).select("a", "b", "n_a", "n_b"), "links")
+    links = written(both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_verified(least), "a long, b long, n_a long, n_b long"), "links")
 
     found = components(None, links.select("a", "b"))
     ends = links.select(F.col("a").alias("node"), F.col("n_b").alias("k")).union(links.select("b", "n_a"))
