@@ -3,8 +3,8 @@
 Base rules reject very short and very repetitive documents. The cross-document rule hashes normalised lines (lower
 case, white space collapsed), counts for each host the distinct documents that hold a line, removes lines above the
 host's limit and rejects documents of which too little is left. Copies of one document are not distinct documents: two
-documents count once for a line if the smallest other line hash of both is the same, so a group of thousands of copies
-is left for the duplicate stage while a menu or a notice amid otherwise different lines is found.
+documents count once if they have the same set of lines, so a group of thousands of copies is left for the duplicate
+stage while menus and notices amid otherwise different lines are found, however many lines they share.
 
 Defined results: a null text counts as no words and fails the base rule; a null host is a host of its own; repeated
 rows of one doc_id are judged each; an empty table gives an empty table; other columns are carried by apply() only.
@@ -109,9 +109,9 @@ def frequent_lines(stats: DataFrame) -> DataFrame:
     """(host, line) of the lines held by more distinct documents of the host than the limits allow."""
     distinct = F.array_sort(F.array_distinct(F.filter("lines", lambda x: F.length(x) > 0)))
     each = stats.select("host", distinct.alias("s")).where(F.size("s") > 0)
-    each = each.select("host", F.explode("s").alias("line"), F.get("s", F.lit(0)).alias("a"), F.get("s", F.lit(1)).alias("b"))
-    each = each.select("host", "line", F.when(F.col("line") == F.col("a"), F.coalesce("b", "a")).otherwise(F.col("a")).alias("sketch"))
-    docs_of = each.groupBy("host", "line", "sketch").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    each = each.select("host", "s", F.unhex(F.md5(F.array_join(F.transform("s", F.hex), ""))).alias("lines_md5"))
+    each = each.select("host", F.explode("s").alias("line"), "lines_md5")
+    docs_of = each.groupBy("host", "line", "lines_md5").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     over = docs_of.where(F.col("n_docs") > LINE_MIN_DOCS).join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
     return over.where(F.col("n_docs") > LINE_MAX_SHARE * F.col("host_docs")).select("host", "line")

@@ -152,6 +152,17 @@ def test_frequent_lines_go_and_copies_do_not_make_lines_frequent(spark):
     assert all("bout" not in kept[i].text for i in range(40)) and kept[100].text == copy and "about" in kept[300].text
 
 
+def test_lines_that_occur_together_count_distinct_documents(spark):
+    menu = [f"menu entry {k}" for k in range(30)]
+    own = lambda i: [f"words {i} {k} " + " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[j : j + 4] for j in range(0, 32, 4)) for k in range(4)]
+    rows = [(i, "\n".join([*menu, *own(i)]), "host") for i in range(40)]
+    rows += [(100 + i, "\n".join(["header", *own(100 + i)[:2], "footer"]), "host") for i in range(40)]
+    rows += [(200 + i, "\n".join(reversed([*menu[:5], *own(200)]) if i % 2 else [*menu[:5], *own(200)]), "copies") for i in range(40)]
+    found = quality_rules.frequent_lines(quality_rules.line_statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    want = {("host", hashlib.md5(x.encode()).digest()) for x in [*menu, "header", "footer"]}
+    assert {(r.host, bytes(r.line)) for r in found.collect()} == want
+
+
 def test_byte_bpe(spark, docs, empty):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken
