@@ -3,7 +3,8 @@
 A text is made canonical: lower case, lines that claim copyright left out, equivalent spellings made one, everything
 but letters and digits turned into single spaces. The SHA-256 of the canonical text is joined with the digests of known
 licence texts, made by the same function. Whole texts are looked up, and each line that hints at a licence too, which
-finds notices amid prose.
+finds notices amid prose. Whole licences lie in licenses/, and are known in several forms: under their usual titles,
+with and without what follows their terms, numbered and not, wrapped, a line a paragraph, and in one line.
 
 Defined results: a null text has a null digest and no licence; a text without letters or digits has the digest of the
 empty string and no licence; copies get equal results; known texts that are equal in canonical form are reported under
@@ -12,6 +13,9 @@ the smallest name; an empty table gives an empty table; extra columns are not re
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,16 @@ KNOWN = {
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
+#: Titles that whole licences may stand under, besides those in their texts.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+END = "END OF TERMS AND CONDITIONS"
 # Spellings that count as equal, after lower-casing.
 EQUIVALENT = [
     ("licence", "license"), ("licencing", "licensing"), ("organisation", "organization"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -53,9 +67,26 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
+def _forms(text: str, titles: list[str]) -> set[str]:
+    """The forms in which a whole licence is known."""
+    ends = {text, text.split(END)[0], text[: text.find(END) + len(END)]} if END in text else {text}
+    bodies = ends | {re.sub(r"(?m)^[ \t]*Copyright \[yyyy\].*\n", "", x) for x in ends}  # filled in, the line is a claim
+    if titles:
+        bodies |= {re.sub(r"(?m)^[ \t]*[0-9]\. ", "", x) for x in bodies}  # with bullets
+    bodies |= {f"{title}\n\n{x}" for title in titles for x in bodies}
+    paragraphs = {"\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", x)) for x in bodies}
+    return bodies | paragraphs | {" ".join(x.split()) for x in bodies}
+
+
+def whole() -> list[tuple[str, str]]:
+    """(license_id, text) of the whole licences in all their forms."""
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))} | {"MIT": KNOWN["MIT text"]}
+    return [(f"{k} text", x) for k, v in texts.items() for x in sorted(_forms(v, TITLES.get(k, [])))]
+
+
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, digest) of known texts; a few rows, given by the caller or from KNOWN."""
-    rows = [(k, v) for k, v in (texts or KNOWN).items()]
+    """(license_id, digest) of known texts; a few rows, given by the caller or from KNOWN and the whole licences."""
+    rows = list(texts.items()) if texts else [*KNOWN.items(), *whole()]
     df = spark.createDataFrame(rows, "license_id string, body string").select("license_id", canonical(F.col("body")).alias("body"))
     df = df.where("body <> ''").select("license_id", F.sha2("body", 256).alias("digest"))
     return df.groupBy("digest").agg(F.min("license_id").alias("license_id"))

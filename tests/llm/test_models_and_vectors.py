@@ -1,6 +1,7 @@
 """Learnt operators on held-out rows; embeddings and licences against brute force; odd cases."""
 
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -135,3 +136,26 @@ def test_licenses(spark):
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.where("false")).count() == 0
     own = {r.doc_id: r.license_id for r in license_scan.scan(df, {"b": "!!! ", "a": "Mine"}).collect()}
     assert own[7] is None and own[5] is None
+
+
+def test_whole_licenses(spark):
+    import textwrap
+
+    isc = (
+        "ISC License\n\nCopyright (c) 2020, Some Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+        'provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\n'
+        "WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY\nSPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER\n"
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,\nNEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE\nUSE OR PERFORMANCE OF THIS SOFTWARE.\n"
+    )
+    texts = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "Zlib"} <= set(texts)
+    wrap = lambda t: "\n\n".join(textwrap.fill(" ".join(p.split()), 60, break_on_hyphens=False) for p in t.split("\n\n"))
+    rows = [(k, f"{k} text") for k in texts]
+    docs = [(k, v) for k, v in texts.items()]
+    docs += [(f"mine {k}", f"Copyright 2021 Some Body. All rights reserved.\n\n{wrap(texts[k])}") for k in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Zlib")]
+    rows += [(f"mine {k}", f"{k} text") for k in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Zlib")]
+    docs += [("isc", isc), ("apache", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Some Body")), ("terms", texts["Apache-2.0"].split("   APPENDIX")[0])]
+    docs += [("mit", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrap(license_scan.KNOWN["MIT text"])), ("more", isc + "and more"), ("half", isc[:300])]
+    rows += [("isc", "ISC text"), ("apache", "Apache-2.0 text"), ("terms", "Apache-2.0 text"), ("mit", "MIT text"), ("more", None), ("half", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    assert {r.doc_id: r.license_id for r in license_scan.scan(df).collect()} == dict(rows)
