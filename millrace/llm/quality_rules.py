@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ._common import sized_join, written
 from ._words import Words, mix, slices, sums, utf8, windows
 
-#: A line goes when more distinct documents of its host hold it than both of these allow.
+#: A line goes when more distinct documents of its host hold it than both of these allow,
 LINE_MIN_DOCS, LINE_MAX_SHARE = 10, 0.02
+#: and above so many documents whatever the share: the limit does not grow without bound with the host.
+LINE_MOST_DOCS = 1000
 #: What must be left after the lines went: words, and share of the words.
 LEFT_MIN_WORDS, LEFT_MIN_SHARE = 10, 0.2
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 10, 20, 5
@@ -114,7 +116,7 @@ def frequent_lines(stats: DataFrame) -> DataFrame:
     docs_of = each.groupBy("host", "line", "lines_md5").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     over = docs_of.where(F.col("n_docs") > LINE_MIN_DOCS).join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return over.where(F.col("n_docs") > LINE_MAX_SHARE * F.col("host_docs")).select("host", "line")
+    return over.where(F.col("n_docs") > F.least(LINE_MAX_SHARE * F.col("host_docs"), F.lit(LINE_MOST_DOCS))).select("host", "line")
 
 
 def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:

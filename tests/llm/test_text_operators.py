@@ -163,6 +163,13 @@ def test_lines_that_occur_together_count_distinct_documents(spark):
     assert {(r.host, bytes(r.line)) for r in found.collect()} == want
 
 
+def test_lines_of_very_many_documents_go_on_large_hosts_too(spark):
+    own = "unhex(md5(cast(id as string)))"
+    of = f"if(id < 1100, array({own}, unhex(md5('a'))), if(id < 2000, array({own}, unhex(md5('b'))), array({own})))"
+    found = quality_rules.frequent_lines(spark.range(60_000).selectExpr("'host' as host", f"{of} as lines"))
+    assert [(r.host, bytes(r.line)) for r in found.collect()] == [("host", hashlib.md5(b"a").digest())]
+
+
 def test_byte_bpe(spark, docs, empty):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken
