@@ -57,7 +57,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-HINT = rf"[@0-9]|(?i:token|secret|passw|key)|(?:{_names})\.? |{_given}"
+HINT = rf"[@0-9]|(?i:token|secret|passw|key)|sk-|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}|(?:{_names})\.? |{_given}"
 MOST_ATTEMPTS = 64
 
 
