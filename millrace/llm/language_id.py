@@ -165,7 +165,8 @@ def _lockstep(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.nd
     active = np.searchsorted(-n, -np.arange(steps), "left")  # lanes longer than each step
     base = np.concatenate([[0], np.cumsum(n)])[:-1]
     stay = np.zeros((int(n.sum()), langs), bool)
-    best = np.zeros(int(n.sum()), np.uint8)
+    kind = np.min_scalar_type(max(langs - 1, 0))  # holds every label
+    best = np.zeros(int(n.sum()), kind)
     for t in range(steps):
         a = active[t]
         x = v[:a]
@@ -179,7 +180,7 @@ def _lockstep(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.nd
     def label(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in e, labels) of the words of all lanes."""
         state = last[order].astype(np.int64)
-        out = np.zeros(len(best), np.uint8)
+        out = np.zeros(len(best), kind)
         for t in range(steps - 1, -1, -1):
             a = active[t]
             at = base[:a] + t
@@ -230,7 +231,7 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, chunk: in
     # places are in the order of the lockstep: sorted by length, stable
     order = np.argsort(-np.concatenate(lanes_len), kind="stable")
     keep = np.repeat(use[order], np.concatenate(lanes_len)[order])
-    out = np.zeros(len(e), np.uint8)
+    out = np.zeros(len(e), got.dtype)
     out[place[keep]] = got[keep]
     return out
 

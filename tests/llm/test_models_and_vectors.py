@@ -121,6 +121,14 @@ def test_embedding_links(spark):
     assert embedding_join.link(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 100])
+def test_viterbi_of_more_than_256_languages(chunk):
+    best = [299, 0, 256, 255, 257, 298, 43, 299]
+    e = np.full((len(best), 300), -9.0, np.float32)
+    e[np.arange(len(best)), best] = 0
+    assert language_id.viterbi(e, np.array([0, len(best)]), 1.0, chunk).tolist() == best
+
+
 def test_licenses(spark):
     mit = license_scan.KNOWN["MIT text"]
     rows = [
