@@ -1,13 +1,17 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 A word is a maximal run of bytes other than ASCII white space (space, \\t, \\n, \\v, \\f, \\r). Everything works on whole
-columns with numpy, a slice of a few MB at a time, so that memory follows the slice and not the batch. Hashes are
-polynomials modulo 2**64 over random byte values, finished by a bijective mixer; the constants come from a fixed seed,
-so every executor and every rerun computes the same values.
+columns with numpy, a slice of a few MB at a time, so that memory follows the slice and not the batch.
+
+Two kinds of names are made. 64-bit hashes only propose: they chain blocks of 8 bytes, and then words, through a bijective
+mixer, so that no structure of the text makes them equal, but equal hashes are never taken for equal words. What decides a
+result is compared byte by byte, or by BLAKE2b digests of 128 bits of the words themselves. Constants come from a fixed
+seed, so every executor and every rerun computes the same values.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,28 +19,17 @@ import pyarrow as pa
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_BASES = [int(x) * 8 + 5 for x in _RNG.integers(2**40, 2**60, 4)]
+_SEEDS = _RNG.integers(0, 2**63, 4, dtype=np.int64).astype(U)
+_ODD = U(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Temporary arrays are up to 8 times a slice, the tables of powers 16 times it.
+#: Temporary arrays are up to 16 times a slice.
 SLICE_BYTES = (1 << 20) - 1
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of them."""
-    if which not in _tables or len(_tables[which][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            p = np.full(size, U(base % (1 << 64)))
-            p[0] = U(1)
-            out.append(np.multiply.accumulate(p))
-        _tables[which] = (out[0], out[1])
-    return _tables[which]
+#: Spans up to so many bytes are hashed block by block in numpy, longer ones one by one.
+BLOCKS = 4
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +39,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans of data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    block = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    h = mix(_SEEDS[which] ^ size.astype(U))
+    todo = np.flatnonzero(size <= 8 * BLOCKS)
+    for k in range(BLOCKS):
+        todo = todo[size[todo] > 8 * k]
+        h[todo] = mix(h[todo] ^ (block[starts[todo] + 8 * k] & _MASK[np.minimum(size[todo] - 8 * k, 8)])) + _ODD
+    long = np.flatnonzero(size > 8 * BLOCKS)
+    if len(long):
+        spans = zip(starts[long].tolist(), ends[long].tolist())
+        found = b"".join([hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in spans])
+        h[long] = mix(h[long] ^ np.frombuffer(found, "<u8"))
+    return h
+
+
+def equal_spans(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of x and of y, of the sizes given, hold the same bytes. Spans lie within x and y."""
+    blocks = []
+    for data in (x, y):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        blocks.append(np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)))
+    out = np.ones(len(size), bool)
+    todo = np.flatnonzero(size <= 8 * BLOCKS)
+    for k in range(BLOCKS):
+        todo = todo[size[todo] > 8 * k]
+        differ = (blocks[0][xs[todo] + 8 * k] ^ blocks[1][ys[todo] + 8 * k]) & _MASK[np.minimum(size[todo] - 8 * k, 8)]
+        out[todo] &= differ == 0
+    for k in np.flatnonzero(size > 8 * BLOCKS).tolist():
+        n = size[k]
+        out[k] = np.array_equal(x[xs[k] : xs[k] + n], y[ys[k] : ys[k] + n])
+    return out
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,19 +124,20 @@ class Words:
         return len(self.starts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        out = np.empty(len(self), U)
-        i, n = 0, len(self)
-        while i < n:
-            base = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, "right")))
-            part = self.data[base : int(self.ends[j - 1])]
-            power, inverse = _powers(which, len(part) + 1)
-            total = np.zeros(len(part) + 1, U)
-            np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
-            s, e = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(U)
-            i = j
-        return mix(out)
+        return span_hashes(self.data, self.starts, self.ends, which)
+
+    def digests(self, at: np.ndarray, width: int) -> np.ndarray:
+        """128-bit digests (two columns) of the windows of so many words that start at the places at, whatever white space
+        lies between the words. Words of one document each."""
+        if not len(at):
+            return np.zeros((0, 2), U)
+        if not hasattr(self, "_joined"):
+            raw, cut = self.data.tobytes(), self.bounds.tolist()
+            self._joined = b" ".join([w for a, b in zip(cut, cut[1:]) for w in raw[a:b].split()])
+            self._from = np.cumsum(self.ends - self.starts + 1) - (self.ends - self.starts + 1)
+        text, last = self._joined, at + width - 1
+        spans = zip(self._from[at].tolist(), (self._from[last] + self.ends[last] - self.starts[last]).tolist())
+        return np.frombuffer(b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
 
     def valid(self, width: int) -> np.ndarray:
         """Positions of words at which a window of so many words of one document starts."""
@@ -119,18 +151,20 @@ class Words:
 
 
 def windows(h: np.ndarray, at: np.ndarray, width: int, which: int = 1) -> np.ndarray:
-    """Hashes of the windows of so many words that start at the places at."""
-    if width <= 8:
-        out = np.zeros(len(at), U)
-        p = 1
-        for k in range(width):
-            out += h[at + k] * U(p)
-            p = p * _BASES[which] % (1 << 64)
-        return mix(out)
-    power, inverse = _powers(which, len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * power[: len(h)], out=total[1:])
-    return mix((total[at + width] - total[at]) * inverse[at])
+    """64-bit hashes of the windows of so many words that start at the places at: pairs of words, pairs of pairs and so
+    on are hashed once for all windows, and a window is chained from the runs of 1, 2, 4 .. words that make it up."""
+    out = np.full(len(at), _SEEDS[which] ^ U(width))
+    if not len(at):
+        return out
+    run, size, done = h, 1, 0
+    while True:
+        if width & size:
+            out = mix(out ^ run[at + done]) + _ODD
+            done += size
+        if 2 * size > width:
+            return out
+        run = mix(run[:-size] * _ODD + run[size:])
+        size *= 2
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,15 +174,16 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def firsts(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (h, doc) of the first row of each pair; whether it is the first of its h; whether its h has more documents."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    order, h = order[new], h[new]
-    lead = np.ones(len(h), bool)
-    lead[1:] = h[1:] != h[:-1]
-    more = np.zeros(len(h), bool)
+def firsts(h: np.ndarray, doc: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (h, g, doc) of the first row of each; whether it is the first of its (h, g); whether that has more documents.
+    g: the other half of the name, if it has two."""
+    order = np.lexsort((doc, h) if g is None else (doc, g, h))
+    h, doc, g = h[order], doc[order], None if g is None else g[order]
+    other = h[1:] != h[:-1] if g is None else (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    new, lead = np.ones(len(h), bool), np.ones(len(h), bool)
+    new[1:] = other | (doc[1:] != doc[:-1])
+    lead[1:] = other
+    order, lead = order[new], lead[new]
+    more = np.zeros(len(order), bool)
     more[:-1] = ~lead[1:]
     return order, lead, more

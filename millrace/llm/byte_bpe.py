@@ -11,7 +11,8 @@ The pattern is GPT-2's: contractions, runs of letters, of digits, of other chara
 and white space. It is applied to whole columns by character classes.
 
 Defined results: a null text is an empty text; an empty text has no tokens; texts of any length are encoded whole;
-repeated rows give repeated results; an empty table gives an empty table; extra columns are not read.
+repeated rows give repeated results; an empty table gives an empty table; extra columns are not read, and carried by
+encode() and decode(). Pieces are told apart by their bytes; hashes only find them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import _BYTE, U, _powers, mix, slices, utf8
+from ._words import U, equal_spans, slices, span_hashes, utf8
 
 #: A corpus of the replay: so many bytes of whole texts. Pieces kept from earlier corpora of the same worker.
 CORPUS_BYTES, KEPT_PIECES = 24 << 20, 1 << 20
@@ -104,6 +105,8 @@ class Replay:
         self.known = np.zeros(0, U)  # sorted hashes of pieces, with the span of their ids
         self.lo = self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.at_text = self.size = np.zeros(0, np.int64)  # the bytes of known pieces
+        self.text = np.zeros(0, np.uint8)
 
     def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -185,7 +188,7 @@ class Replay:
         return token[alive], np.bincount(word[alive], minlength=len(first) - 1)
 
     def learn(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Encodes the pieces of a corpus (text, first, end, hash of each) that are not known yet."""
+        """Encodes the pieces of a corpus (text, first, end, hash of each) whose hash is not known yet."""
         texts, widths, names = [], [], []
         for text, first, end, name in found:
             name, one = np.unique(name, return_index=True)
@@ -208,6 +211,26 @@ class Replay:
         self.known = np.concatenate([self.known, name])[order]
         self.lo, self.n = np.concatenate([self.lo, lo])[order], np.concatenate([self.n, n])[order]
         self.ids = np.concatenate([self.ids, ids])
+        self.at_text = np.concatenate([self.at_text, np.cumsum(w) - w + len(self.text)])[order]
+        self.size = np.concatenate([self.size, w])[order]
+        self.text = np.concatenate([self.text, text])
+
+    def spans(self, text: np.ndarray, first: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of pieces lie, how many they are, and the ids. A known piece of the same hash counts only if its
+        bytes are those of the piece; pieces that share a hash by chance are encoded again, by themselves."""
+        at = np.searchsorted(self.known, name)
+        lo, n, ids = self.lo[at], self.n[at], self.ids
+        same = self.size[at] == end - first
+        fits = np.flatnonzero(same)
+        same[fits] = equal_spans(text, first[fits], self.text, self.at_text[at[fits]], self.size[at[fits]])
+        if not same.all():
+            other = np.flatnonzero(~same)
+            w = (end - first)[other]
+            own = text[np.repeat(first[other] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+            more, k = self.encode(own, np.concatenate([[0], np.cumsum(w)]))
+            lo[other], n[other] = np.cumsum(k) - k + len(ids), k
+            ids = np.concatenate([ids, more])
+        return lo, n, ids
 
     def corpus(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For slices of documents i..j: their range, ids one behind the other, and number of ids of each document."""
@@ -218,15 +241,11 @@ class Replay:
             text, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             first = pieces(text, bounds)
             end = np.append(first[1:], len(text))[: len(first)]
-            power, inverse = _powers(0, len(text) + 1)
-            total = np.zeros(len(text) + 1, U)
-            np.cumsum(_BYTE[text] * power[: len(text)], out=total[1:])
-            found.append((text, first, end, mix((total[end] - total[first]) * inverse[first] + (end - first).astype(U))))
+            found.append((text, first, end, span_hashes(text, first, end)))
         self.learn(found)
         for (a, b), (text, first, end, name) in zip(cuts, found):
-            at = np.searchsorted(self.known, name)
-            lo, n = (self.lo[at], self.n[at]) if len(at) else (np.zeros(0, np.int64),) * 2
-            ids = self.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int32)
+            lo, n, ids = self.spans(text, first, end, name) if len(first) else (np.zeros(0, np.int64), np.zeros(0, np.int64), self.ids)
+            ids = ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int32)
             total = np.concatenate([[0], np.cumsum(n)])
             cut = total[np.searchsorted(first, offsets[a : b + 1] - offsets[a])]
             yield a, b, ids, np.diff(cut)
@@ -252,10 +271,21 @@ def _corpora(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     return slices(offsets, CORPUS_BYTES)
 
 
+def free(name: str, taken: list[str], other: str) -> str:
+    """name, or other if a column has that name in any case, or other with as many underscores as it takes."""
+    low = {c.lower() for c in taken}
+    if name.lower() not in low:
+        return name
+    while other.lower() in low:
+        other += "_"
+    return other
+
+
 def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """All columns of docs and ids array<int>. The rank file is read where this is called and sent to the workers."""
+    """All columns of docs and ids array<int> (named as free() says). The rank file is read where this is called and sent
+    to the workers."""
     ranks = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
-    name = "ids" if "ids" not in docs.columns else "ids_of_" + text
+    name = free("ids", docs.columns, f"ids_of_{text}")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay(ranks.value)
@@ -273,18 +303,19 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
-    """All columns of df and decoded binary: the bytes of the ids (null ids: null)."""
+    """All columns of df and decoded binary (named as free() says): the bytes of the ids (null ids: null)."""
+    name = free("decoded", df.columns, f"decoded_{ids}")
     ranks = df.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay(ranks.value)
         for batch in batches:
             out = [None if x is None else replay.decode(np.array(x, np.int64))[0].tobytes() for x in batch[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(of, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(of, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:

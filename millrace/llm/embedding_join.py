@@ -108,7 +108,7 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     both = pairs.join(x, "a").join(y, "b").where((F.col("label_a") == F.col("label_b")) & (F.size("x") == F.size("y")))
     links = written(both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_verified(least), "a long, b long, n_a long, n_b long"), "links")
 
-    found = components(None, links.select("a", "b"))
+    found = components(links.select("a", "b"))
     ends = links.select(F.col("a").alias("node"), F.col("n_b").alias("k")).union(links.select("b", "n_a"))
     counts = ends.groupBy("node").agg(F.sum("k").alias("others"))
     told = nodes.join(counts, "node", "left").join(found.withColumnRenamed("id", "node"), "node", "left")

@@ -1,23 +1,26 @@
 """N-gram Jaccard join: all links of similarity 0.9 (or another bound) between sets of word shingles, and components.
 
 Universe-partition pigeonhole. Sets are banded by size; in a band whose sets have at most B shingles, two sets that
-link differ in at most H = floor(2 B (1 - t) / (1 + t)) shingles. Shingles are hashed into m segments; a segment is
-indexed by its subset alone (tolerates 0 differences) or by its subset and all subsets with one shingle deleted
-(tolerates 1). If the segments tolerate so much that m + (segments with deletions) > H, two linked sets share a key.
-For each band the number of segments and of deletion neighbourhoods is the cheapest by a cost model: keys written, and
-chance candidates, from the number of sets in the band (counted over all documents). Any allocation is exact.
-
-A set indexes but the first segments, as many as its own size asks for: of two sets the shorter run is common to both.
-Segments of few shingles would be shared by chance, so there are some segments to spare: a set leaves out its plain
-segments of up to w shingles, for the largest w (at most WEAK) that leaves out no more than are to spare. Of two sets the
-one with the larger w still holds a segment equal in both, which the other holds too. Segments with deletions are never
-left out. Sets near a band's upper end are indexed in the next band too.
-
-What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of
-all sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: equal sets are one node, and in each round members are compared with
-one pivot of the key, members already connected to it being left out; what is still in different components of a key
-after the rounds is compared pair by pair. A parity bitmap of 1024 bits rules out pairs first (its distance is never
-above the difference of the sets); every other pair is verified on the shingles of the whole texts.
+link differ in at most H = floor(2 B (1 - t) / (1 + t)) shingles. Shingles are hashed into m segments. A plain segment is
+indexed by its subset of a set: if no indexed subset is shared, the segment costs a difference. A segment with deletions is
+indexed by its subset and all subsets with one shingle deleted; not to share it costs two differences. Subsets of up to
+`weak` shingles, the empty one always among them, are not indexed and cost nothing, since sets share them by chance.
+For each band the number of segments, of deletion neighbourhoods and the weak size are the cheapest by a cost model: keys
+written, and chance candidates, from the number of sets in the band (counted over all documents).
+
+A set indexes its first segments until they cost more differences than it can have from any set of the band it links
+with. Of two sets, the one with the shorter run proves that a key is shared: within its run the other would have to differ
+in more. Sets whose segments cannot cost so much (poor sets: too many weak subsets) index all segments, and among
+themselves they are indexed once more, by fewer and larger segments with deletions; those that are poor again (next to
+none) by the plain scheme, in which every subset counts. Sets near a band's upper end are indexed in the next band too.
+
+What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of all
+sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: equal sets are one node,
+and in each round members are compared with one pivot of the key, members already connected to it being left out. What is
+still in different components of a key after the rounds is compared pair by pair, a key of many members being dealt out
+over pairs of blocks of at most about BLOCK of them. A parity bitmap of 1024 bits rules out pairs first (its distance is
+never above the difference of the sets); every other pair is verified on the shingles of the whole texts, which are told
+apart by 128-bit BLAKE2b digests of their words; 64-bit hashes make candidates only.
 
 Defined results: null and empty texts have 0 shingles and are components of their own; texts with fewer words than a
 shingle are one shingle, the whole sequence; repeated texts are linked; an empty table gives an empty table; extra
@@ -26,8 +29,10 @@ columns are not read. doc_id is unique and not null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +40,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, only_ids, written
-from ._words import U, Words, firsts, mix, slices, sums, utf8, windows
+from ._words import U, Words, firsts, mix, slices, utf8, windows
 
 BITS = 1024
 BAND_GROWTH = 1.5
 #: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results.
-SHARED = 0.05
+SHARED = 0.01
 PIVOT_ROUNDS = 2
-#: Segments of so few shingles may be left out, and this share of segments is to spare for it.
-WEAK, SPARE = 4, 0.15
+#: Subsets of at most so many shingles may be called weak; of poor sets the cost model allows this share.
+MOST_WEAK, MOST_POOR = 4, 0.2
+#: Members of a key that are compared pair by pair in one block.
+BLOCK = 2000
 
 
 @dataclass(frozen=True)
@@ -66,35 +73,92 @@ class Rule:
         return (r + s) * (100 - self.percent) // (100 + self.percent)
 
 
-def allocate(size: int, differing: int, population: int) -> tuple[int, int, int]:
-    """(segments, of them with deletions, to spare) of least cost for a band of so many sets of up to so many shingles."""
-    best = None
+@dataclass(frozen=True)
+class Plan:
+    """Segments of a band; the first of them have deletions; subsets of up to so many shingles are not indexed."""
+
+    segments: int
+    deletions: int
+    weak: int
+
+
+def _counts(size: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of so many shingles fall into a segment (j), and the chance of it: binomial."""
+    if segments == 1:
+        return np.array([size]), np.ones(1)
+    mean = size / segments
+    j = np.arange(max(0, int(mean - 9 * mean**0.5 - 9)), min(size, int(mean + 9 * mean**0.5 + 9)) + 1)
+    if mean > 200:  # as good as normal here
+        p = np.exp(-((j - mean) ** 2) / (2 * mean))
+        return j, p / p.sum()
+    log = np.array([lgamma(size + 1) - lgamma(k + 1) - lgamma(size - k + 1) for k in j.tolist()])
+    return j, np.exp(log + j * np.log(1 / segments) + (size - j) * np.log1p(-1 / segments))
+
+
+def cost(size: int, differing: int, population: int, plan: Plan) -> tuple[float, float]:
+    """(cost, share of poor sets) of a plan for so many sets of so many shingles: keys a set writes, and chance
+    candidates it meets, poor sets being indexed twice."""
+    j, p = _counts(size, plan.segments)
+    one, two = j > plan.weak, j > plan.weak + 1
+    plain, both = (p * one).sum(), one.astype(float) + two
+    mean = plan.deletions * (p * both).sum() + (plan.segments - plan.deletions) * plain
+    spread = plan.deletions * ((p * both**2).sum() - (p * both).sum() ** 2) + (plan.segments - plan.deletions) * plain * (1 - plain)
+    need = differing + 1
+    gap = mean - need + 0.5
+    poor = 0.5 * erfc(gap / (2 * spread) ** 0.5) if spread > 1e-12 else float(gap < 0)
+    first = min(float(plan.deletions), need / max((p * both).sum(), 1e-9))  # segments with deletions in a run
+    rest = max(need - first * (p * both).sum(), 0.0)  # plain keys
+    near = np.power(SHARED, np.minimum(j, 60) * 1.0)
+    keys = first * (p * (one + two * j)).sum() + rest
+    chance = first * (p * (one * near + two * 2 * j * near / SHARED)).sum() + (rest / plain * (p * one * near).sum() if plain > 1e-9 else 0.0)
+    return keys + population * chance + poor * (5 * need + population * SHARED), poor
+
+
+def allocate(size: int, differing: int, population: int) -> Plan:
+    """The cheapest plan for a band of so many sets of up to so many shingles that differ in so many when they link."""
     if differing == 0:
-        return 1, 0, 0
-    room = 1 + int(SPARE * (differing + 1))
-    for m in sorted({1, *np.linspace((differing + 2) // 2, differing + 1 + room, 24).astype(int).tolist()}):
-        spare = room if m > differing + 1 else 0
-        deletions = max(0, differing + 1 + spare - m)
-        if deletions > m:
-            continue
-        n = size / m
-        keys = m + deletions * n
-        chance = population * ((m - deletions) * SHARED**n + deletions * (1 + n) * (SHARED ** max(n - 1, 0) + np.exp(-n)))
-        if best is None or keys + chance < best[0]:
-            best = (keys + chance, m, deletions, spare)
-    return best[1:]
+        return Plan(1, 0, 0)
+    need, best = differing + 1, None
+    for share in np.linspace(0.5, 1.6, 23):
+        m = max(1, round(need * share))
+        for part in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0):
+            for weak in range(MOST_WEAK + 1):
+                plan = Plan(m, round(m * part), weak)
+                # the band's smaller sets have as much smaller segments
+                price, poor = cost(size, differing, population, plan)
+                small = cost(max(1, int(size / BAND_GROWTH)), int(differing / BAND_GROWTH), population, plan)[1]
+                rank = (max(poor, small) > MOST_POOR, max(poor, small) if max(poor, small) > MOST_POOR else 0.0, price)
+                if best is None or rank < best[0]:
+                    best = (rank, plan)
+    return best[1]
+
+
+def again(differing: int, level: int) -> Plan:
+    """Plans for sets that are poor: fewer, larger segments with deletions; then every subset counts, empty or not."""
+    m = differing // 2 + 2 + differing // 8
+    return Plan(m, m, 0) if level == 1 else Plan(differing + 1, 0, -1)
+
+
+def _unique(doc: np.ndarray, *name: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The places of the distinct (doc, name), in order."""
+    order = np.lexsort((*reversed(name), doc))
+    same = np.ones(len(order), bool)
+    for x in (doc, *name):
+        same[1:] &= x[order[1:]] == x[order[:-1]]
+    same[:1] = False
+    return order[~same]
+
+
+def _places(w: Words, width: int) -> list[tuple[int, np.ndarray]]:
+    """(words, first words) of the shingles: whole texts where they have fewer words than a shingle."""
+    return [(width, w.valid(width)), *((k, w.first[np.flatnonzero(w.counts == k)]) for k in range(1, width))]
 
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each document, and the first of each document."""
-    h = w.hashes()
-    at = w.valid(width)
-    x, doc = windows(h, at, width), w.doc[at]
-    for k in range(1, width):  # documents of fewer words
-        of = np.flatnonzero(w.counts == k)
-        if len(of):
-            x = np.concatenate([x, windows(h, w.first[of], k) ^ U(k)])
-            doc = np.concatenate([doc, of])
+    """Distinct 64-bit hashes of shingles, sorted within each document, and the first of each document. For candidates."""
+    h, at = w.hashes(), _places(w, width)
+    x = np.concatenate([windows(h, places, k) for k, places in at])
+    doc = np.concatenate([w.doc[places] for _, places in at])
     order = np.argsort(x)
     order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
     x, doc = x[order], doc[order]
@@ -104,59 +168,89 @@ def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, np.searchsorted(doc, np.arange(w.docs + 1))
 
 
+def exact(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 128-bit digests of shingles (two columns), sorted within each document, and the first of each document."""
+    at = _places(w, width)
+    x = np.concatenate([w.digests(places, k) for k, places in at])
+    doc = np.concatenate([w.doc[places] for _, places in at])
+    order = _unique(doc, x[:, 0], x[:, 1])
+    x, doc = x[order], doc[order]
+    return x, np.searchsorted(doc, np.arange(w.docs + 1))
+
+
+def common(r: np.ndarray, s: np.ndarray) -> int:
+    """How many rows of two sorted sets of digests are in both."""
+    if (r[1:, 0] == r[:-1, 0]).any() or (s[1:, 0] == s[:-1, 0]).any():
+        return len(set(map(tuple, r.tolist())) & set(map(tuple, s.tolist())))
+    _, a, b = np.intersect1d(r[:, 0], s[:, 0], assume_unique=True, return_indices=True)
+    return int((r[a, 1] == s[b, 1]).sum())
+
+
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (shingles), a 128-bit hash of the set, and its parity bitmap."""
+    """doc_id, n (shingles), a 128-bit digest of the set (c1, c2), and its parity bitmap."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for i, j in slices(offsets):
-                x, first = shingles(Words(data, offsets, i, j, lower=True), rule.width)
+                x, first = exact(Words(data, offsets, i, j, lower=True), rule.width)
                 n = np.diff(first)
                 doc = np.repeat(np.arange(j - i), n)
-                odd = np.bincount(doc * BITS + (x >> U(54)).astype(np.int64), minlength=(j - i) * BITS) & 1
+                odd = np.bincount(doc * BITS + (x[:, 0] >> U(54)).astype(np.int64), minlength=(j - i) * BITS) & 1
                 bits = np.packbits(odd.astype(np.uint8).reshape(j - i, BITS), axis=1, bitorder="little").view("<i8")
-                total = [sums(mix(x ^ U(s)).view(np.int64), first) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                raw, cut = memoryview(x.tobytes()), (16 * first).tolist()
+                total = np.frombuffer(b"".join([hashlib.blake2b(raw[p:q], digest_size=16).digest() for p, q in zip(cut, cut[1:])]), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total[0]), pa.array(total[1]), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64()))],
+                    [batch["doc_id"].slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total[:, 0].copy()), pa.array(total[:, 1].copy()), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64()))],
                     names=["doc_id", "n", "c1", "c2", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, c1 long, c2 long, bits array<long>")
 
 
-def signatures(docs: DataFrame, rule: Rule, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    """(part, key, doc_id, known) of every indexed segment subset. plan: by band, what allocate() gives. The first set of
-    a block that has a key stands for all with key null and part the key; the others are known to share it."""
+def subsets(x: np.ndarray, doc: np.ndarray, need: np.ndarray, m: np.ndarray, deletions: np.ndarray, weak: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their sets, whether each set is poor). x: the hashes of the sets doc, each of which has m segments."""
+    start = np.concatenate([[0], np.cumsum(m)])
+    value = mix(x ^ U(0xD6E8FEB86659FD93))
+    segment = ((x >> U(16)) % np.maximum(m, 1)[doc].astype(U)).astype(np.int64)
+    at = start[doc] + segment
+    total, count = np.zeros(start[-1], U), np.bincount(at, minlength=start[-1])
+    np.add.at(total, at, value)
+    owner = np.repeat(np.arange(len(m)), m)
+    place = np.arange(start[-1]) - start[owner]
+    more = place < deletions[owner]
+    one = count > weak[owner]
+    two = one & more & (count > weak[owner] + 1)
+    costs = np.concatenate([[0], np.cumsum(one.astype(np.int64) + two)])
+    run = costs[:-1] - costs[start[owner]] < need[owner]
+    salted = mix(salt[owner] ^ place.astype(U))
+    whole, less = run & one, (run & two)[at]
+    poor = costs[start[1:]] - costs[start[:-1]] < need
+    return np.concatenate([mix(total[whole] ^ salted[whole]), mix((total[at[less]] - value[less]) ^ salted[at[less]])]), np.concatenate([owner[whole], doc[less]]), poor
+
+
+def signatures(docs: DataFrame, rule: Rule, plan: dict[int, Plan]) -> DataFrame:
+    """(part, key, doc_id, known) of every indexed subset. plan: by band, what allocate() gives. The first set of a block
+    that has a key stands for all with key null and part the key; the others are known to share it."""
     bands = rule.bands()
     least = rule.percent / 100
 
     def keys(x: np.ndarray, doc: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, deletions, spare = (np.array([plan[b][k] if b in plan else 0 for b in band.tolist()], np.int64) for k in range(3))
-        x, doc = x[m[doc] > 0], doc[m[doc] > 0]
-        start = np.concatenate([[0], np.cumsum(m)])
-        value = mix(x ^ U(0xD6E8FEB86659FD93))
-        segment = ((x >> U(16)) % np.maximum(m, 1)[doc].astype(U)).astype(np.int64)
-        top = np.where(m > 0, bands[np.minimum(band, len(bands) - 2) + 1] - 1, 0)
-        need = rule.differing(n, np.minimum(top, n * 100 // rule.percent)) + 1 + spare  # tolerance that this size asks for
-        run = np.minimum(m, np.where(need - deletions >= deletions, need - deletions, (need + 1) // 2))
-        used = segment < run[doc]
-        x, doc, value, segment = x[used], doc[used], value[used], segment[used]
-        at = start[doc] + segment
-        total, count = np.zeros(start[-1], U), np.bincount(at, minlength=start[-1])
-        np.add.at(total, at, value)
-        owner = np.repeat(np.arange(len(n)), m)
-        place = np.arange(start[-1]) - start[owner]
-        salt = mix((band[owner].astype(U) << U(44)) ^ place.astype(U))
-        mine = place < run[owner]
-        plain = mine & (place >= deletions[owner])
-        out = np.full(len(n), -1)  # the largest count left out
-        for w in range(WEAK + 1):
-            weak = np.bincount(owner[plain & (count <= w)], minlength=len(n))
-            out = np.where((weak <= spare) & (out == w - 1), w, out)
-        whole = mine & ~(plain & (count <= out[owner]))
-        near = segment < deletions[doc]
-        return np.concatenate([mix(total[whole] ^ salt[whole]), mix((total[at[near]] - value[near]) ^ salt[at[near]])]), np.concatenate([owner[whole], doc[near]])
+        top = np.where(band >= 0, bands[np.minimum(band, len(bands) - 2) + 1] - 1, 0)
+        need = rule.differing(n, np.minimum(top, n * 100 // rule.percent)) + 1
+        found, owners = [], []
+        on = np.array([b in plan for b in band.tolist()], bool) & (n > 0)
+        for level in range(3):
+            if not on.any():
+                break
+            of = {b: plan[b] if level == 0 else again(rule.differing(int(bands[b + 1]) - 1, int(bands[b + 1]) - 1), level) for b in np.unique(band[on]).tolist()}
+            m, deletions, weak = (np.array([getattr(of[b], f) if o else 0 for b, o in zip(band.tolist(), on.tolist())], np.int64) for f in ("segments", "deletions", "weak"))
+            mine = on[doc]
+            key, owner, poor = subsets(x[mine], doc[mine], need, m, deletions, weak, mix(np.maximum(band, 0).astype(U) << U(44) ^ U(level << 60)))
+            found.append(key)
+            owners.append(owner)
+            on = on & poor
+        return np.concatenate([*found, np.zeros(0, U)]), np.concatenate([*owners, np.zeros(0, np.int64)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +290,11 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             for i, j in slices(ox + oy):
                 both = []
                 for d, o in ((dx, ox), (dy, oy)):
-                    x, first = shingles(Words(d, o, i, j, lower=True), rule.width)
-                    both.append((x, first))
+                    both.append(exact(Words(d, o, i, j, lower=True), rule.width))
                 for k in range(j - i):
                     r, s = (x[f[k] : f[k + 1]] for x, f in both)
-                    common = len(np.intersect1d(r, s, assume_unique=True))
-                    fits[i + k] = 100 * common >= rule.percent * (len(r) + len(s) - common)
+                    both_have = common(r, s)
+                    fits[i + k] = 100 * both_have >= rule.percent * (len(r) + len(s) - both_have)
             keep = pa.array(fits)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
@@ -260,7 +353,13 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             best = met.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))  # the rest is left to the rounds after
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            rest = written(now.join(open_keys.select("key"), "key", "left_semi").join(marks, "doc_id"), "open")
+            rest = now.join(open_keys.select("key"), "key", "left_semi")
+            many = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+            # a key of many members is dealt out over pairs of blocks; within a pair of blocks each pair meets once
+            rest = rest.join(many, "key", "left").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
+            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+            rest = rest.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))))
+            rest = written(rest.select("key", "doc_id", "comp").join(marks, "doc_id"), "open")
             a, b = (rest.select("key", F.col("doc_id").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
             both = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near("bits_a", "bits_b", "n_a", "n_b", rule))
             pairs = both.select("a", "b").distinct()
@@ -270,7 +369,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         fits = written(verify(pairs, docs, rule), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = fits if links is None else links.union(fits)
-        grown = components(None, links)
+        grown = components(links)
         comp = written(members.select("doc_id").distinct().join(grown.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
     out = member.join(comp.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))

@@ -59,10 +59,9 @@ def rules() -> str:
     m AS (SELECT doc_id, host, line, trim(regexp_replace(lower(line), '{SPACES}', ' ', 'g')) AS norm FROM l),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM m WHERE norm <> '' GROUP BY 1),
     h AS (SELECT DISTINCT doc_id, host, md5(norm) AS h FROM m WHERE norm <> ''),
-    two AS (SELECT doc_id, host, h, min(h) OVER (PARTITION BY doc_id) AS a, nth_value(h, 2) OVER (PARTITION BY doc_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM h),
-    c AS (SELECT host, h, count(DISTINCT CASE WHEN h = a THEN coalesce(b, a) ELSE a END) AS n FROM two GROUP BY 1, 2),
+    c AS (SELECT h.host AS host, h, count(DISTINCT md5(t)) AS n FROM h JOIN d ON d.doc_id = h.doc_id GROUP BY 1, 2),
     hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-    bad AS (SELECT c.host AS host, c.h AS h FROM c JOIN hosts ON hosts.host IS NOT DISTINCT FROM c.host WHERE c.n > {q.LINE_MIN_DOCS} AND c.n > {q.LINE_MAX_SHARE} * hosts.n),
+    bad AS (SELECT c.host AS host, c.h AS h FROM c JOIN hosts ON hosts.host IS NOT DISTINCT FROM c.host WHERE c.n > {q.LINE_MIN_DOCS} AND c.n > least({q.LINE_MAX_SHARE} * hosts.n, {q.LINE_MOST_DOCS})),
     gone AS (SELECT doc_id, CAST(sum(len({WORDS.format("line")})) AS BIGINT) AS n FROM m JOIN bad ON bad.h = md5(m.norm) AND bad.host IS NOT DISTINCT FROM m.host WHERE norm <> '' GROUP BY 1),
     s AS (SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{SPACES}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id)

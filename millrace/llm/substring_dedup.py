@@ -3,8 +3,8 @@
 A difference cover of the residues modulo 31 has, for any two places in two documents, a step below 31 after which both
 are at cover places. So two equal windows of 50 words share an anchor, 20 words that start at cover places of both
 documents, and it is enough to hash the anchors: 6 places of 31. Documents that share an anchor with another document
-are extended: the windows around their shared anchors are hashed (128 bits), and a window goes if a document of
-smaller doc_id has it.
+are extended: the words of the windows around their shared anchors are digested (BLAKE2b, 128 bits), and a window goes if
+a document of smaller doc_id has one of the same digest. 64-bit hashes find anchors only, and never decide.
 
 Both groupings first work within a block (an Arrow batch): what documents of one block share is settled there, and one
 row a block and hash goes on. A hash that a third of all documents hold is thus as many rows as there are blocks.
@@ -86,12 +86,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for i, j in slices(offsets):
             w = Words(data, offsets, i, j)
-            h = w.hashes()
-            at = _marked_windows(w, h, hot[cut[i] : cut[j]].view(U), np.repeat(np.arange(j - i), np.diff(cut[i : j + 1])))
-            for c, x in zip(cols, (windows(h, at, WINDOW), windows(w.hashes(2), at, WINDOW, 3), ids[i + w.doc[at]], w.position(at))):
+            at = _marked_windows(w, w.hashes(), hot[cut[i] : cut[j]].view(U), np.repeat(np.arange(j - i), np.diff(cut[i : j + 1])))
+            name = w.digests(at, WINDOW)
+            for c, x in zip(cols, (name[:, 0], name[:, 1], ids[i + w.doc[at]], w.position(at))):
                 c.append(x)
         h, g, doc, place = (np.concatenate(c) for c in cols)
-        order, lead, _ = firsts(h ^ mix(g), doc)
+        order, lead, _ = firsts(h, doc, g)
         h, g, doc, place = h[order], g[order], doc[order], place[order]
         # a document of the block with a smaller id has it: known, as runs of places
         d, p = doc[~lead], place[~lead]
@@ -115,6 +115,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _elsewhere(w: Words, gone: np.ndarray) -> np.ndarray:
+    """Places of the windows at gone, and of the same windows elsewhere in the same document."""
+    at = w.valid(WINDOW)
+    name = mix(windows(w.hashes(), at, WINDOW) ^ mix(w.doc[at].astype(U)))
+    is_gone = np.isin(at, gone)
+    like = at[np.isin(name, name[is_gone]) & ~is_gone]
+    if not len(like):
+        return gone
+    same = {(d, *x) for d, x in zip(w.doc[gone].tolist(), map(tuple, w.digests(gone, WINDOW).tolist()))}
+    also = [p for p, d, x in zip(like.tolist(), w.doc[like].tolist(), map(tuple, w.digests(like, WINDOW).tolist())) if (d, *x) in same]
+    return np.concatenate([gone, np.array(also, gone.dtype)])
+
+
 def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch["text"])
@@ -130,11 +143,8 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
             np.add.at(first, start, 1)
             np.add.at(first, start + length, -1)
             gone = np.flatnonzero(np.cumsum(first) > 0)
-            if len(gone):  # the same window elsewhere in the same document
-                at, h = w.valid(WINDOW), w.hashes()
-                x, y = windows(h, at, WINDOW), windows(w.hashes(2), at, WINDOW, 3)
-                name = mix(x ^ mix(y) ^ mix(w.doc[at].astype(U)))
-                gone = at[np.isin(name, name[np.searchsorted(at, gone)])]
+            if len(gone):
+                gone = _elsewhere(w, gone)
             cover = np.zeros(len(w) + 1, np.int64)
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + WINDOW, -1)

@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, substring_dedup, surrogates
@@ -74,19 +75,60 @@ def test_ngram_join(docs, empty):
 
 @pytest.mark.parametrize("population", [1, 10**4, 10**9, 10**13])
 def test_allocations_tolerate_what_linked_sets_may_differ_in(population):
-    rule = ngram_join.Rule()
-    for size in (1, 9, 12, 27, 500, 20000):
-        h = rule.differing(size, size)
-        m, deletions, spare = ngram_join.allocate(size, h, population)
-        assert m + deletions >= h + 1 + spare and deletions <= m
-
-
-def test_ngram_join_with_deletion_neighbourhoods(docs, monkeypatch):
+    """A set of any size must be able to prove, by what it indexes, that a linked set shares a key; few may fail to."""
+    r = np.random.default_rng(4)
+    for rule in (ngram_join.Rule(), ngram_join.Rule(width=5, percent=80)):
+        for size in (2, 5, 9, 12, 27, 80, 500, 4000):
+            h = rule.differing(size, size)
+            plan = ngram_join.allocate(size, h, population)
+            assert 0 <= plan.deletions <= plan.segments and plan.weak >= 0
+            sets = 200
+            x = r.integers(0, 2**63, sets * size).astype(np.uint64)
+            one = np.ones(sets, np.int64)
+            _, _, poor = ngram_join.subsets(x, np.repeat(np.arange(sets), size), one * (h + 1), one * plan.segments, one * plan.deletions, one * plan.weak, one.astype(np.uint64))
+            assert poor.mean() <= 0.35, (size, plan, poor.mean())
+
+
+def test_deletion_neighbourhoods_win_in_crowded_bands_under_production_parameters():
+    rule = ngram_join.Rule(width=5, percent=80)
+    wins = lambda population: [k for k in range(3, 20) if ngram_join.allocate(top(k), rule.differing(top(k), top(k)), population).deletions]
+    top = lambda k: int(rule.bands()[k + 1]) - 1
+    assert len(wins(10**6)) > 12 and len(wins(100)) < 6
+
+
+def test_the_empty_subset_is_no_key_and_copies_of_it_do_not_meet():
+    one = np.ones(2, np.int64)
+    x = np.array([5 << 16, 6 << 16, 7 << 16, 8 << 16], np.uint64)  # few shingles, many segments
+    doc = np.array([0, 0, 1, 1])
+    for deletions in (0, 40):
+        keys, owner, poor = ngram_join.subsets(x, doc, one * 9, one * 40, one * deletions, one * 0, one.astype(np.uint64))
+        assert len(keys) == 4 and len(set(keys.tolist())) == 4 and poor.all()
+
+
+@pytest.mark.parametrize("deletions", [0, 1])
+def test_ngram_join_whatever_the_plan(docs, monkeypatch, deletions):
     plain = {tuple(r) for r in ngram_join.link(docs).collect()}
-    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, n: ((h + 2) // 2, (h + 2) // 2, 0) if h else (1, 0, 0))
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, n: ngram_join.Plan((h + 2) // 2, deletions * ((h + 2) // 2), 1))  # most sets are poor
     assert {tuple(r) for r in ngram_join.link(docs).collect()} == plain
 
 
+def test_ngram_join_with_a_key_that_a_third_of_all_sets_hold(spark):
+    """A passage in many documents that are else unlike, and chains of near copies among them."""
+    r = random.Random(2)
+    words = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    shared = words(30)
+    rows = [(i, " ".join([*words(30), *shared])) for i in range(150)] + [(200 + i, " ".join(words(60))) for i in range(200)]
+    chain = [*words(60), *shared]
+    for i in range(30):
+        chain[i] = f"n{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(docs, ngram_join.Rule(width=1, percent=90)).collect()}
+    assert got == {i: 1000 if i >= 1000 else i for i, _ in rows}
+
+
 def test_substring_dedup(docs, empty):
     first, texts = {}, dict(corpus())
     for i in sorted(texts):
@@ -166,7 +208,7 @@ def test_lines_that_occur_together_count_distinct_documents(spark):
 def test_lines_of_very_many_documents_go_on_large_hosts_too(spark):
     own = "unhex(md5(cast(id as string)))"
     of = f"if(id < 1100, array({own}, unhex(md5('a'))), if(id < 2000, array({own}, unhex(md5('b'))), array({own})))"
-    found = quality_rules.frequent_lines(spark.range(60_000).selectExpr("'host' as host", f"{of} as lines"))
+    found = quality_rules.frequent_lines(spark.range(60_000).selectExpr("'host' as host", f"{of} as lines", f"{own} as text_md5"))
     assert [(r.host, bytes(r.line)) for r in found.collect()] == [("host", hashlib.md5(b"a").digest())]
 
 
@@ -280,3 +322,27 @@ def test_every_kind_of_entity_passes_the_hint(spark):
     assert df.where(df.text.rlike(surrogates.ENTITY)).count() == len(rows)
     some = surrogates.replace(df.where(f"doc_id < {len(bare)}")).collect()
     assert len(some) == len(bare) and all(r._entities == 1 and bare[r.doc_id] not in r.text for r in some)
+
+
+def test_menus_go_whatever_else_their_pages_share(spark):
+    r = random.Random(9)
+    prose = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    menu = [f"{k} entry of the menu" for k in range(20)]
+    rows = [(i, "\n".join([*menu, prose(40)]), "host") for i in range(60)] + [(100 + i, prose(40), "host") for i in range(1500)]
+    kept = {r.doc_id: r.text for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(kept) == 1560 and not any("entry" in t for t in kept.values())
+
+
+def test_documents_that_are_one_line_go_but_for_exact_copies(spark):
+    line = "all rights to this one line are kept by the host that shows it everywhere"
+    rows = [(i, line.replace(" ", " " * (1 + i % 500), 1) if i % 2 else line.upper() + " " * (i % 500), "host") for i in range(500)]
+    rows += [(1000 + i, f"{i} " + " ".join(f"w{i * 20 + k}" for k in range(20)), "host") for i in range(500)]
+    rows += [(2000 + i, "an exact copy of some words that is left to the stage of duplicates " * 1, "host") for i in range(400)]
+    kept = {r.doc_id for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {*range(1000, 1500), *range(2000, 2400)}
+
+
+def test_lines_above_the_limits_beyond_the_broadcast(spark, docs, monkeypatch):
+    plain = {tuple(r) for r in quality_rules.verdicts(docs).drop("dropped").collect()}
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", -1)
+    assert {tuple(r) for r in quality_rules.verdicts(docs).drop("dropped").collect()} == plain
