@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, surrogates
 from millrace.llm._common import only_ids, written
+from millrace.llm.queries import KEY, TEST_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Surrogates for personal data and secrets."""
-    return surrogates.replace(docs).select(docs.columns)
+    """Surrogates for personal data and secrets, with the key of the session (see millrace.llm.queries.KEY)."""
+    return surrogates.replace(docs, spark.conf.get(KEY, TEST_KEY)).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
