@@ -2,9 +2,12 @@
 
 A text is made canonical: lower case, lines that claim copyright left out, equivalent spellings made one, everything
 but letters and digits turned into single spaces. The SHA-256 of the canonical text is joined with the digests of known
-licence texts, made by the same function. Whole texts are looked up, and each line that hints at a licence too, which
-finds notices amid prose. Whole licences lie in licenses/, and are known in several forms: under their usual titles,
-with and without what follows their terms, numbered and not, wrapped, a line a paragraph, and in one line.
+licence texts, made by the same function. Whole licences lie in licenses/, and are known in several forms: under their
+usual titles, with and without what follows their terms, numbered and not, wrapped, a line a paragraph, and in one line.
+
+Notices amid prose are found by the same join: known texts of at most NOTICE_WORDS words give their first two words and
+their number of words, and wherever a text has those two words, the words from there on are digested too, however they are
+wrapped or marked as comments. Tags of the form "SPDX-License-Identifier: .." are reported as they stand.
 
 Defined results: a null text has a null digest and no licence; a text without letters or digits has the digest of the
 empty string and no licence; copies get equal results; known texts that are equal in canonical form are reported under
@@ -57,7 +60,10 @@ EQUIVALENT = [
 ]
 #: A line with one of these, without words like "notice", "holder" or "owner" near, claims copyright.
 CLAIM = r"(^|\n)[ \t]*(?:\(c\)|©|copyright (?:\(c\)|©|[0-9]{4})|all rights reserved)[^\n]*"
-LINE_HINT = "licen|permission|public domain|released under"
+#: Known texts of more words are looked up as whole texts only.
+NOTICE_WORDS = 400
+#: Fixed value: a tag, and what an expression of tags may be joined by.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?: (?:OR|AND|WITH) [A-Za-z0-9.+-]+){0,9})"
 
 
 def canonical(text: Column) -> Column:
@@ -84,23 +90,57 @@ def whole() -> list[tuple[str, str]]:
     return [(f"{k} text", x) for k, v in texts.items() for x in sorted(_forms(v, TITLES.get(k, [])))]
 
 
-def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, digest) of known texts; a few rows, given by the caller or from KNOWN and the whole licences."""
-    rows = list(texts.items()) if texts else [*KNOWN.items(), *whole()]
+def known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """(license_id, digest, n, head) of known texts: number of words, and the first two."""
     df = spark.createDataFrame(rows, "license_id string, body string").select("license_id", canonical(F.col("body")).alias("body"))
-    df = df.where("body <> ''").select("license_id", F.sha2("body", 256).alias("digest"))
-    return df.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    words = F.split("body", " ")
+    df = df.where("body <> ''").select("license_id", F.sha2("body", 256).alias("digest"), F.size(words).alias("n"), F.array_join(F.slice(words, 1, 2), " ").alias("head"))
+    return df.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("n").alias("n"), F.first("head").alias("head"))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), the value being made once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _windows(canon: Column, heads: dict[str, list[int]]) -> Column:
+    """Digests of the runs of words that begin like a known notice and have as many words."""
+    if not heads:
+        return F.array().cast("array<string>")
+    first = sorted({h.split(" ")[0] for h in heads})
+
+    def at(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(first))
+
+        def of(i: Column) -> Column:
+            two, runs = F.array_join(F.slice(words, i + 1, F.lit(2)), " "), F.array().cast("array<int>")
+            for head, sizes in heads.items():
+                begins = two == head if " " in head else F.get(words, i) == head
+                runs = F.concat(runs, F.when(begins, F.array(*map(F.lit, sizes))).otherwise(F.array().cast("array<int>")))
+            return F.transform(F.filter(runs, lambda n: i + n <= F.size(words)), lambda n: F.sha2(F.array_join(F.slice(words, i + 1, n), " "), 256))
+
+        return F.array_distinct(F.flatten(F.transform(places, of)))
+
+    return let(F.split(canon, " "), at)
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, digest, license_id (of the whole text), line_licenses (of lines, distinct, sorted, joined by commas)."""
-    names = written(known(docs.sparkSession, texts), "known")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE_HINT))
-    each = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
-    each = each.withColumn("row", F.monotonically_increasing_id())
-    each = written(each, "digests")
-    hits = each.select("row", F.explode(F.array_distinct("lines")).alias("digest")).join(names, "digest")
+    """doc_id, digest, license_id (of the whole text), notices (ids of what stands in the text, whole or in part), spdx
+    (tags); both distinct, sorted, joined by commas. texts: known texts by id, instead of those known here."""
+    spark = docs.sparkSession
+    all_known = written(known(spark, list(texts.items()) if texts is not None else [*KNOWN.items(), *whole()]), "known")
+    names = all_known.select("digest", "license_id")
+    short = {x for x in texts} if texts is not None else set(KNOWN)
+    heads: dict[str, list[int]] = {}
+    for r in all_known.where(F.col("n") <= NOTICE_WORDS).select("license_id", "head", "n").distinct().orderBy("head", "n").collect():  # of known texts: given by the caller
+        if r["license_id"] in short and r["n"] not in heads.setdefault(r["head"], []):
+            heads[r["head"]].append(r["n"])
+    found = let(canonical(F.col("text")), lambda c: F.struct(F.sha2(c, 256).alias("digest"), _windows(c, heads).alias("runs")))
+    tags = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))), ",")
+    each = docs.select("doc_id", found.alias("x"), F.when(F.contains("text", F.lit("SPDX-License-Identifier:")), tags).alias("tags"))
+    each = written(each.select("doc_id", "x.digest", "x.runs", "tags").withColumn("row", F.monotonically_increasing_id()), "digests")
+    hits = each.select("row", F.explode("runs").alias("digest")).join(names, "digest")
     # notices of a document: no more than there are known texts
-    hits = written(hits.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses")), "lines")
-    out = sized_join(sized_join(each, names, "digest"), hits, "row")
-    return out.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    hits = written(hits.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("ids")), "notices")
+    out = sized_join(sized_join(each.drop("runs"), names, "digest"), hits, "row")
+    return out.select("doc_id", "digest", "license_id", F.coalesce("ids", F.lit("")).alias("notices"), F.coalesce("tags", F.lit("")).alias("spdx"))

@@ -78,8 +78,9 @@ def licenses() -> str:
 
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in license_scan.KNOWN.items())
     return f"""
-    WITH k AS (SELECT sha256({canonical("body")}) AS digest, min(id) AS license_id FROM (VALUES {values}) v(id, body) GROUP BY 1),
-    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-    hit AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM l JOIN k ON k.digest = sha256({canonical("line")}) WHERE regexp_matches(lower(line), '{license_scan.LINE_HINT}') GROUP BY 1),
-    d AS (SELECT doc_id, sha256({canonical("text")}) AS digest FROM documents)
-    SELECT d.doc_id AS doc_id, d.digest AS digest, k.license_id AS license_id, coalesce(hit.ids, '') AS line_licenses FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN hit ON hit.doc_id = d.doc_id"""
+    WITH k AS (SELECT body, min(id) AS license_id FROM (SELECT id, {canonical("body")} AS body FROM (VALUES {values}) v(id, body)) GROUP BY 1),
+    d AS (SELECT doc_id, text, {canonical("text")} AS canon FROM documents),
+    hit AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM d JOIN k ON contains(' ' || canon || ' ', ' ' || body || ' ') GROUP BY 1)
+    SELECT d.doc_id AS doc_id, sha256(canon) AS digest, k.license_id AS license_id, coalesce(hit.ids, '') AS notices,
+      coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, {quoted(license_scan.SPDX)}, 1))), ','), '') AS spdx
+    FROM d LEFT JOIN k ON k.body = d.canon LEFT JOIN hit ON hit.doc_id = d.doc_id"""

@@ -121,6 +121,48 @@ def test_embedding_links(spark):
     assert embedding_join.link(df.where("false")).count() == 0
 
 
+def test_embedding_links_of_a_cell_that_is_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    rows = [(k, (centre + rng.normal(size=64) * 0.1).tolist(), "x") for k in range(300)] + [(1000 + k, rng.normal(size=64).tolist(), "x") for k in range(200)]
+    rows += [(2000 + k, rows[5][1], "x") for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(6)
+    e = np.array([r[1] for r in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    want = dict(zip([r[0] for r in rows], ((e @ e.T >= 0.98).sum(1) - 1).tolist()))
+    assert max(want.values()) > 250
+    for cell, ids in ((embedding_join.CELL, embedding_join.BROADCAST_IDS), (40, -1)):
+        monkeypatch.setattr(embedding_join, "CELL", cell)
+        monkeypatch.setattr(embedding_join, "BROADCAST_IDS", ids)
+        assert {r.vec_id: r.n_links for r in embedding_join.link(df).collect()} == want
+
+
+def test_rows_of_cells_follow_their_vectors_not_their_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    n = 400
+    x = rng.normal(size=64) + rng.normal(size=(n, 64)) * 0.01
+    both = pa.array(np.concatenate([x, x]).tolist(), pa.list_(pa.float64()))
+    two = lambda a: pa.array(np.concatenate([a, a]))
+    side = pa.array(np.repeat([0, 1], n).astype(np.int32))
+    turned = embedding_join._unit(x) @ embedding_join.rotation(64)
+    batch = pa.RecordBatch.from_arrays([two(np.zeros(n, np.int64)), side, two(np.zeros(n, np.int32)), two(np.arange(n)), two(np.ones(n, np.int64)), pa.array(["l"] * 2 * n), both], names=["gid", "side", "block", "node", "n", "label", "embedding"])
+    out = pa.Table.from_batches(embedding_join._linked(0.98)(iter([batch]))).to_pylist()
+    assert len(turned) == n and len(out) <= 4 * n and sum(r["k"] for r in out) == n * (n - 1)
+    assert {r["b"] for r in out if r["b"] is not None} == {0}
+
+
+def test_forest():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    root = list(range(300))
+    for _ in range(300):
+        for p, q in zip(a.tolist(), b.tolist()):
+            root[p] = root[q] = min(root[p], root[q])
+    assert embedding_join.forest(300, a, b).tolist() == root
+
+
 @pytest.mark.parametrize("chunk", [3, 100])
 def test_viterbi_of_more_than_256_languages(chunk):
     best = [299, 0, 256, 255, 257, 298, 43, 299]
@@ -139,13 +181,36 @@ def test_licenses(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, digest string, license_id string")
     got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert got[1].license_id == "MIT text" == got[7].license_id and got[3].license_id is None
-    assert got[2].line_licenses == "Apache-2.0,MIT" and got[2].license_id is None and got[8].license_id == "CC-BY-NC-4.0" == got[8].line_licenses
+    assert got[2].notices == "Apache-2.0,MIT" and got[2].license_id is None and got[8].license_id == "CC-BY-NC-4.0" == got[8].notices
     assert got[4].digest is None and got[5].digest == got[6].digest == hashlib.sha256(b"").hexdigest() and got[5].license_id is None
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.where("false")).count() == 0
     own = {r.doc_id: r.license_id for r in license_scan.scan(df, {"b": "!!! ", "a": "Mine"}).collect()}
     assert own[7] is None and own[5] is None
 
 
+def test_notices_amid_prose(spark):
+    header = license_scan.KNOWN["Apache-2.0 header"]
+    words = header.split()
+    wrapped = "\n".join(f" * {' '.join(words[k : k + 9])}" for k in range(0, len(words), 9))
+    source = f"/*\n * Copyright 2020 Some Body\n{wrapped}\n */\nint main() {{}}\n"
+    rows = [
+        (1, source, "Apache-2.0,Apache-2.0 header", ""),
+        (2, "// SPDX-License-Identifier: MIT\ncode", "", "MIT"),
+        (3, "# SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0\n# SPDX-License-Identifier: 0BSD", "", "0BSD,Apache-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0"),
+        (4, "some words, released\nunder the MIT\nLicense. Other words", "MIT", ""),
+        (5, "rereleased under the MIT License", "", ""),
+        (6, "released under the MIT Licensed", "", ""),
+        (7, license_scan.KNOWN["MIT text"] + " and more", "MIT text", ""),
+        (8, "x " * 200_000 + "Released under the MIT License. Released under the MIT License.", "MIT", ""),
+        (9, None, "", ""), (10, "", "", ""), (11, "released", "", ""),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.notices, r.spdx) for r in license_scan.scan(df).collect()) == [(i, n, x) for i, _, n, x in rows]
+    own = {"plain": "no word that hints", "one": "Zyzzyva", "long": "w " * 1000}
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(1, "some NO-word\nthat hints, zyzzyva"), (2, "w " * 1000), (3, "w " * 1001)], "doc_id long, text string"), own).collect()}
+    assert [got[k].notices for k in (1, 2, 3)] == ["one,plain", "", ""] and [got[k].license_id for k in (1, 2, 3)] == [None, "long", None]
+
+
 def test_whole_licenses(spark):
     import textwrap
 
