@@ -126,16 +126,25 @@ class Words:
     def hashes(self, which: int = 0) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, which)
 
+    def joined(self) -> bytes:
+        """All words joined by one space; _from is where each begins."""
+        if not hasattr(self, "_joined"):
+            raw, cut = self.data.tobytes(), self.bounds.tolist()
+            self._joined = b" ".join([w for a, b in zip(cut, cut[1:]) for w in raw[a:b].split()])
+            self._from = np.cumsum(self.ends - self.starts + 1) - (self.ends - self.starts + 1)
+        return self._joined
+
+    def sequences(self) -> np.ndarray:
+        """128-bit digests (two columns) of the word sequences of all documents."""
+        raw, cut = self.data.tobytes(), self.bounds.tolist()
+        return np.frombuffer(b"".join([hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(cut, cut[1:])]), "<u8").reshape(-1, 2)
+
     def digests(self, at: np.ndarray, width: int) -> np.ndarray:
         """128-bit digests (two columns) of the windows of so many words that start at the places at, whatever white space
         lies between the words. Words of one document each."""
         if not len(at):
             return np.zeros((0, 2), U)
-        if not hasattr(self, "_joined"):
-            raw, cut = self.data.tobytes(), self.bounds.tolist()
-            self._joined = b" ".join([w for a, b in zip(cut, cut[1:]) for w in raw[a:b].split()])
-            self._from = np.cumsum(self.ends - self.starts + 1) - (self.ends - self.starts + 1)
-        text, last = self._joined, at + width - 1
+        text, last = self.joined(), at + width - 1
         spans = zip(self._from[at].tolist(), (self._from[last] + self.ends[last] - self.starts[last]).tolist())
         return np.frombuffer(b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
 

@@ -5,8 +5,11 @@ marked. A word's score for a language is the sum of the log frequencies of its t
 the word's script are out. The Viterbi path over a text maximises scores less a penalty for each switch, so short
 accidents do not break a span; runs of equal labels are the spans. The text's language is that of most letters.
 
-The path is found in lockstep over all texts of a batch; a text longer than CHUNK words is cut into chunks which are
-solved once for each entry label and then chained, so the steps of a batch are bounded and the path is still exact.
+The path is found in lockstep over all texts of a slice of a batch, slices being smaller the more languages there are. A text
+longer than CHUNK words is cut into chunks, which are solved once for each entry label and then chained (of more than
+MANY languages each text is one lane instead), so the steps of a slice are bounded and the path is still exact. A text
+longer than a slice is solved slice by slice: forwards for the scores at their borders, backwards for the labels. Memory
+follows the slice, whatever the batch, the text or the number of languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and no span; words without letters go with
 their neighbours; ties go to the first language by name; copies get equal results; with no labelled text all are `und`;
@@ -28,6 +31,10 @@ from ._words import U, Words, mix, slices
 BITS = 16
 SWITCH = 10.0
 CHUNK = 2048
+#: Of more languages, chunks are not solved for each entry label.
+MANY = 16
+#: Bytes of a slice times languages, and least and most bytes of a slice.
+SLICE_WORK, SLICE_LEAST, SLICE_MOST = 16 << 20, 1 << 16, 4 << 20
 #: A language may be a candidate for a script that at least this share of its words use.
 SCRIPT_SHARE = 0.002
 OUT = -60.0
@@ -83,13 +90,28 @@ class Text:
         self.letters = np.diff(np.concatenate([[0], np.cumsum(rank > 0)])[np.stack([w.starts + first, w.ends + first])], axis=0)[0] if len(w) else np.zeros(0, np.int64)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
+def _blocks(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
     texts = batch["text"].to_pylist()
     size = np.cumsum([0, *[len(x or "") for x in texts]])
-    for i, j in slices(size):
+    for i, j in slices(size, limit):
         yield i, j, [x or "" for x in texts[i:j]]
 
 
+def parts(text: str, limit: int) -> Iterator[str]:
+    """A text cut at white space into parts of about limit characters; a longer word stands whole."""
+    at = 0
+    while len(text) - at > limit:
+        cut = max(text.rfind(c, at, at + limit) for c in " \t\n\x0b\x0c\r")
+        if cut <= at:
+            later = [k for k in (text.find(c, at + limit) for c in " \t\n\x0b\x0c\r") if k >= 0]
+            if not later:
+                break
+            cut = min(later)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -106,9 +128,8 @@ def train(docs: DataFrame) -> Model:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch["lang"].to_pylist()
-            for i, j, texts in _blocks(batch):
+            for texts, of in ((p, o) for i, j, x in _blocks(batch) for p, o in ([(x, langs[i:j])] if j - i > 1 else [([y], langs[i:j]) for y in parts(x[0], 1 << 20)])):
                 t = Text(texts)
-                of = langs[i:j]
                 name, code = np.unique(np.array(of, object).astype(str), return_inverse=True)
                 word_lang = code[t.w.doc]
                 n = t.hi - t.lo
@@ -156,7 +177,7 @@ def emissions(t: Text, m: Model) -> np.ndarray:
 
 def _lockstep(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray, penalty: float):
     """Viterbi over lanes, each a run of words of e with scores to start from. Gives final scores and a function that
-    labels all lanes for given final labels."""
+    labels all lanes for given final labels, and tells the labels before their first words."""
     lanes, langs = start.shape
     order = np.argsort(-length, kind="stable")
     v = start[order].copy()
@@ -177,8 +198,8 @@ def _lockstep(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.nd
         stay[at], best[at] = same, top
         v[:a] = np.where(same, x, leap[:, None]) + e[f[:a] + t]
 
-    def label(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in e, labels) of the words of all lanes."""
+    def label(last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in e, labels) of the words of all lanes, and the labels before."""
         state = last[order].astype(np.int64)
         out = np.zeros(len(best), kind)
         for t in range(steps - 1, -1, -1):
@@ -187,7 +208,7 @@ def _lockstep(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.nd
             out[at] = state[:a]
             state[:a] = np.where(stay[at, state[:a]], state[:a], best[at])
         place = np.repeat(f - base, n) + np.arange(len(best))
-        return place, out
+        return place, out, state[back]
 
     back = np.empty(lanes, np.int64)
     back[order] = np.arange(lanes)
@@ -198,6 +219,8 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, chunk: in
     """Best labels of the words of each text (first: their first words and the end)."""
     langs = e.shape[1]
     length = np.diff(first)
+    if langs > MANY:
+        chunk = max(int(length.max(initial=0)), 1)
     short = np.flatnonzero((length > 0) & (length <= chunk))
     lanes_first, lanes_len, start = [first[:-1][short]], [length[short]], [np.zeros((len(short), langs))]
     chains = []
@@ -226,8 +249,7 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, chunk: in
             entry = int(came[k][out])
             use[lo + k * langs + entry], last[lo + k * langs + entry] = True, out
             out = entry
-    place, got = label(last)
-    keep = np.repeat(use, np.concatenate(lanes_len))
+    place, got, _ = label(last)
     # places are in the order of the lockstep: sorted by length, stable
     order = np.argsort(-np.concatenate(lanes_len), kind="stable")
     keep = np.repeat(use[order], np.concatenate(lanes_len)[order])
@@ -236,48 +258,111 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, chunk: in
     return out
 
 
+def solve(e: np.ndarray, start: np.ndarray, penalty: float = SWITCH, chunk: int = CHUNK):
+    """Viterbi over words that go on from given scores: final scores, and a function that gives the words' labels and
+    the label before them for a given final label."""
+    n, langs = e.shape
+    if not n:
+        return start, lambda last: (np.zeros(0, np.int64), last)
+    if langs > MANY:
+        final, label = _lockstep(e, np.zeros(1, np.int64), np.array([n]), start[None], penalty)
+
+        def trace(last: int) -> tuple[np.ndarray, int]:
+            _, out, before = label(np.array([last]))
+            return out, int(before[0])
+
+        return final[0], trace
+    cuts = np.arange(0, n, chunk)
+    lanes, size = np.repeat(cuts, langs), np.repeat(np.minimum(chunk, n - cuts), langs)
+    final, label = _lockstep(e, lanes, size, np.tile(np.where(np.eye(langs, dtype=bool), 0.0, -1e18), (len(cuts), 1)), penalty)
+    v, came = start, []
+    for step in final.reshape(len(cuts), langs, langs):
+        through = v[:, None] + step
+        came.append(through.argmax(0))
+        v = through.max(0)
+
+    def trace(last: int) -> tuple[np.ndarray, int]:
+        ends, use = final.argmax(1), np.zeros(len(lanes), bool)
+        for k in range(len(cuts) - 1, -1, -1):
+            entry = int(came[k][last])
+            use[k * langs + entry], ends[k * langs + entry] = True, last
+            last = entry
+        place, got, _ = label(ends)
+        order = np.argsort(-size, kind="stable")
+        keep = np.repeat(use[order], size[order])
+        out = np.zeros(n, got.dtype)
+        out[place[keep]] = got[keep]
+        return out, last
+
+    return v, trace
+
+
+def _long(text: str, m: Model, limit: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(letters of each language, spans as (label, first word, words)) of one text, a part at a time."""
+    cut = list(parts(text, limit))
+    starts, words = [np.zeros(len(m.langs))], [0]
+    for part in cut:
+        t = Text([part])
+        starts.append(solve(emissions(t, m), starts[-1])[0])
+        words.append(words[-1] + len(t.w))
+    share, spans, last = np.zeros(len(m.langs)), [], int(starts[-1].argmax())
+    for k in range(len(cut) - 1, -1, -1):
+        t = Text([cut[k]])
+        label, last = solve(emissions(t, m), starts[k])[1](last)
+        share += np.bincount(label, t.letters, minlength=len(m.langs))
+        for lang, first, n in reversed(_runs(label)):
+            if spans and spans[-1][0] == lang:
+                spans[-1] = (lang, words[k] + first, n + spans[-1][2])
+            else:
+                spans.append((lang, words[k] + first, n))
+    return share, spans[::-1]
+
+
+def _runs(label: np.ndarray) -> list[tuple[int, int, int]]:
+    """(label, first place, length) of runs of equal labels."""
+    if not len(label):
+        return []
+    at = np.concatenate([[0], np.flatnonzero(label[1:] != label[:-1]) + 1])
+    return list(zip(label[at].tolist(), at.tolist(), np.diff(np.append(at, len(label))).tolist()))
+
+
+def _short(texts: list[str], m: Model, spans: bool) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
+    """(letters of each language, spans) of texts, in lockstep."""
+    t = Text(texts)
+    label, langs = viterbi(emissions(t, m), t.w.first.astype(np.int64)), len(m.langs)
+    share = np.bincount(t.w.doc * langs + label, t.letters, minlength=len(texts) * langs).reshape(-1, langs)
+    first = t.w.first.tolist()
+    return share, [_runs(label[a:b]) for a, b in zip(first, first[1:])] if spans else []
+
+
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score; with spans also spans: array<struct<lang, first_word, n_words>>."""
+    """doc_id, lang_pred, score; with spans also spans: array<struct<lang, first_word, n_words>>. The model is sent to the
+    workers: languages x 65,537 floats, a quarter of a MB a language."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.allowed))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
+    limit = min(max(SLICE_WORK // max(len(model.langs), 1), SLICE_LEAST), SLICE_MOST)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
         for batch in batches:
-            parts, es, letters, firsts, docs_, at = [], [], [], [], 0, 0
-            blocks = list(_blocks(batch))
-            for i, j, texts in blocks:
-                t = Text(texts)
-                es.append(emissions(t, m) if m.langs else np.zeros((len(t.w), 1), np.float32))
-                letters.append(t.letters)
-                firsts.append(t.w.first[:-1] + at)
-                at += len(t.w)
-            first = np.append(np.concatenate([*firsts, np.zeros(0, np.int64)]), at).astype(np.int64)
-            e, n = (np.concatenate(es), np.concatenate(letters)) if es else (np.zeros((0, 1), np.float32), np.zeros(0, np.int64))
-            label = viterbi(e, first)
-            doc = np.repeat(np.arange(len(batch)), np.diff(first))
-            langs = max(len(m.langs), 1)
-            share = np.bincount(doc * langs + label, n, minlength=len(batch) * langs).reshape(-1, langs)
-            total = share.sum(1)
-            texts = batch["text"].to_pylist()
-            lettered = np.array([x is not None and any(map(str.isalpha, x)) for x in texts], bool) & bool(m.langs)
-            top = share.argmax(1)
-            # letters outside the ranges known here: a text has letters but no share; the first language stands
-            score = np.where(lettered, np.where(total > 0, share.max(1) / np.maximum(total, 1), 1 / langs), 0.0)
-            pred = [m.langs[k] if ok else "und" for k, ok in zip(top.tolist(), lettered.tolist())]
-            cols = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score)]
-            if spans:
-                new = np.ones(len(label), bool)
-                new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-                b = np.flatnonzero(new)
-                size = np.diff(np.append(b, len(label)))
-                rows: list[list] = [[] for _ in range(len(batch))]
-                for p, k in zip(b.tolist(), size.tolist()):
-                    d = int(doc[p])
-                    if lettered[d]:
-                        rows[d].append({"lang": m.langs[label[p]], "first_word": p - int(first[d]), "n_words": k})
-                cols.append(pa.array(rows, kind))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
+            null = batch["text"].is_null().to_pylist()
+            for i, j, texts in _blocks(batch, limit):
+                lettered = np.array([not n and any(map(str.isalpha, x)) for n, x in zip(null[i:j], texts)], bool) & bool(m.langs)
+                share, runs = np.zeros((j - i, max(len(m.langs), 1))), [[] for _ in texts]
+                if m.langs and j - i == 1 and len(texts[0]) > limit:
+                    share[0], runs[0] = _long(texts[0], m, limit)
+                elif m.langs:
+                    share, found = _short(texts, m, spans)
+                    runs = found or runs
+                total, top = share.sum(1), share.argmax(1)
+                # letters outside the ranges known here: a text has letters but no share; the first language stands
+                score = np.where(lettered, np.where(total > 0, share.max(1) / np.maximum(total, 1), 1 / share.shape[1]), 0.0)
+                pred = [m.langs[k] if ok else "und" for k, ok in zip(top.tolist(), lettered.tolist())]
+                cols = [batch["doc_id"].slice(i, j - i), pa.array(pred, pa.string()), pa.array(score)]
+                if spans:
+                    rows = [[{"lang": m.langs[k], "first_word": a, "n_words": n} for k, a, n in x] if ok else [] for x, ok in zip(runs, lettered.tolist())]
+                    cols.append(pa.array(rows, kind))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
     shape = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang: string, first_word: long, n_words: long>>" * spans
     return docs.select("doc_id", "text").mapInArrow(of, shape)

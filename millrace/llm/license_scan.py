@@ -17,6 +17,7 @@ the smallest name; an empty table gives an empty table; extra columns are not re
 from __future__ import annotations
 
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,8 @@ EQUIVALENT = [
 ]
 #: A line with one of these, without words like "notice", "holder" or "owner" near, claims copyright.
 CLAIM = r"(^|\n)[ \t]*(?:\(c\)|©|copyright (?:\(c\)|©|[0-9]{4})|all rights reserved)[^\n]*"
+#: The same for Java: at starts of lines alone, with a look at one character first.
+CLAIM_JAVA = "(?md)^[ \\t]*+(?=[(©ca])" + CLAIM.removeprefix(r"(^|\n)[ \t]*")
 #: Known texts of more words are looked up as whole texts only.
 NOTICE_WORDS = 400
 #: Fixed value: a tag, and what an expression of tags may be joined by.
@@ -67,7 +70,7 @@ SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?: (?:OR|AND|WITH) [A-Za
 
 
 def canonical(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(text), CLAIM, "$1")
+    t = F.regexp_replace(F.lower(text), CLAIM_JAVA, "")
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
@@ -121,7 +124,9 @@ def _windows(canon: Column, heads: dict[str, list[int]]) -> Column:
 
         return F.array_distinct(F.flatten(F.transform(places, of)))
 
-    return let(F.split(canon, " "), at)
+    # most texts have none of the heads, and are spared the words
+    some = reduce(Column.__or__, [F.contains(canon, F.lit(h)) for h in heads])
+    return F.when(some, let(F.split(canon, " "), at)).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ themselves they are indexed once more, by fewer and larger segments with deletio
 none) by the plain scheme, in which every subset counts. Sets near a band's upper end are indexed in the next band too.
 
 What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of all
-sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: equal sets are one node,
+sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: copies of a word sequence are one node,
 and in each round members are compared with one pivot of the key, members already connected to it being left out. What is
 still in different components of a key after the rounds is compared pair by pair, a key of many members being dealt out
 over pairs of blocks of at most about BLOCK of them. A parity bitmap of 1024 bits rules out pairs first (its distance is
@@ -154,8 +154,9 @@ def _places(w: Words, width: int) -> list[tuple[int, np.ndarray]]:
     return [(width, w.valid(width)), *((k, w.first[np.flatnonzero(w.counts == k)]) for k in range(1, width))]
 
 
-def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit hashes of shingles, sorted within each document, and the first of each document. For candidates."""
+def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of shingles, sorted within each document, and the first of each document: for candidates.
+    And the number of distinct shingles of each document: those of equal hashes are told apart by their words."""
     h, at = w.hashes(), _places(w, width)
     x = np.concatenate([windows(h, places, k) for k, places in at])
     doc = np.concatenate([w.doc[places] for _, places in at])
@@ -164,8 +165,19 @@ def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     x, doc = x[order], doc[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+    more = np.zeros(w.docs, np.int64)
+    if not new.all():
+        same = ~new
+        same[:-1] |= ~new[1:]
+        size, place = np.repeat([k for k, _ in at], [len(p) for _, p in at])[order[same]], np.concatenate([p for _, p in at])[order[same]]
+        name = np.zeros((len(place), 2), U)
+        for k in np.unique(size).tolist():
+            name[size == k] = w.digests(place[size == k], k)
+        of = doc[same]
+        more = np.bincount(of[_unique(of, name[:, 0], name[:, 1])], minlength=w.docs) - np.bincount(of[new[same]], minlength=w.docs)
     x, doc = x[new], doc[new]
-    return x, np.searchsorted(doc, np.arange(w.docs + 1))
+    first = np.searchsorted(doc, np.arange(w.docs + 1))
+    return x, first, np.diff(first) + more
 
 
 def exact(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,19 +199,18 @@ def common(r: np.ndarray, s: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (shingles), a 128-bit digest of the set (c1, c2), and its parity bitmap."""
+    """doc_id, n (shingles), a 128-bit digest of the word sequence (c1, c2), and the set's parity bitmap."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for i, j in slices(offsets):
-                x, first = exact(Words(data, offsets, i, j, lower=True), rule.width)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(j - i), n)
-                odd = np.bincount(doc * BITS + (x[:, 0] >> U(54)).astype(np.int64), minlength=(j - i) * BITS) & 1
+                w = Words(data, offsets, i, j, lower=True)
+                x, first, n = shingles(w, rule.width)
+                doc = np.repeat(np.arange(j - i), np.diff(first))
+                odd = np.bincount(doc * BITS + (x >> U(54)).astype(np.int64), minlength=(j - i) * BITS) & 1
                 bits = np.packbits(odd.astype(np.uint8).reshape(j - i, BITS), axis=1, bitorder="little").view("<i8")
-                raw, cut = memoryview(x.tobytes()), (16 * first).tolist()
-                total = np.frombuffer(b"".join([hashlib.blake2b(raw[p:q], digest_size=16).digest() for p, q in zip(cut, cut[1:])]), "<i8").reshape(-1, 2)
+                total = w.sequences().view("<i8")
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total[:, 0].copy()), pa.array(total[:, 1].copy()), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64()))],
                     names=["doc_id", "n", "c1", "c2", "bits"],
@@ -258,9 +269,8 @@ def signatures(docs: DataFrame, rule: Rule, plan: dict[int, Plan]) -> DataFrame:
             ids = np.asarray(batch["doc_id"])
             found, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for i, j in slices(offsets):
-                x, first = shingles(Words(data, offsets, i, j, lower=True), rule.width)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(j - i), n)
+                x, first, n = shingles(Words(data, offsets, i, j, lower=True), rule.width)
+                doc = np.repeat(np.arange(j - i), np.diff(first))
                 band = np.searchsorted(bands, n, "right") - 1
                 above = np.where((n > 0) & (n >= least * bands[np.minimum(band + 1, len(bands) - 1)] - 1e-9), band + 1, -1)
                 for b in (band, above):
@@ -313,7 +323,7 @@ def near(bits_a: str, bits_b: str, n_a: str, n_b: str, rule: Rule):
 
 
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
+    """doc_id, n_shingles, class_id (smallest doc_id with the same word sequence), component_id."""
     found = written(features(docs, rule), "features")
     full = found.where("n > 0")
     classes = written(full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -367,6 +377,9 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if pairs.isEmpty():
             continue
         fits = written(verify(pairs, docs, rule), "links")
+        if fits.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         links = fits if links is None else links.union(fits)
         grown = components(links)

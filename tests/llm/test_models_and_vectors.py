@@ -171,6 +171,40 @@ def test_viterbi_of_more_than_256_languages(chunk):
     assert language_id.viterbi(e, np.array([0, len(best)]), 1.0, chunk).tolist() == best
 
 
+@pytest.mark.parametrize("langs", [3, 40])
+def test_viterbi_part_by_part(langs):
+    rng = np.random.default_rng(langs)
+    e = rng.normal(size=(500, langs)).astype(np.float32) * 3
+    want = language_id.viterbi(e, np.array([0, 500]), 2.0, 50)
+    cuts, starts = [0, 1, 130, 130, 400, 500], [np.zeros(langs)]
+    for a, b in zip(cuts, cuts[1:]):
+        starts.append(language_id.solve(e[a:b], starts[-1], 2.0, 20)[0])
+    last, got = int(starts[-1].argmax()), []
+    for (a, b), v in reversed(list(zip(zip(cuts, cuts[1:]), starts))):
+        label, last = language_id.solve(e[a:b], v, 2.0, 20)[1](last)
+        got = label.tolist() + got
+    value = lambda path: sum(e[k, s] for k, s in enumerate(path)) - 2.0 * sum(x != y for x, y in zip(path, path[1:]))
+    assert value(got) == pytest.approx(value(want.tolist()), abs=1e-3)
+
+
+def test_a_text_longer_than_a_slice_and_many_languages(spark, documents, monkeypatch):
+    some = documents.where("lang is not null and text is not null")
+    model = language_id.train(some)
+    rng = np.random.default_rng(0)
+    rows = some.where("n_chars > 2000").limit(60).select("text", "lang").collect()
+    text = "\n".join(rows[k].text for k in rng.permutation(len(rows)))
+    df = spark.createDataFrame([(1, text), (2, rows[0].text), (3, "word" * 40_000), (4, None)], "doc_id long, text string").coalesce(1)
+    at_once = {r.doc_id: r for r in language_id.identify(df, model, spans=True).collect()}
+    monkeypatch.setattr(language_id, "SLICE_WORK", 1)
+    monkeypatch.setattr(language_id, "SLICE_LEAST", 3000)
+    by_parts = {r.doc_id: r for r in language_id.identify(df, model, spans=True).collect()}
+    assert at_once == by_parts and len(at_once[1].spans) > 5
+    assert "".join(language_id.parts(text, 999)) == text and max(map(len, language_id.parts(text, 999))) <= 999
+    many = language_id.Model([f"l{k:03}" for k in range(300)], np.repeat(model.table, 75, 0) + np.linspace(0, 1e-3, 300, dtype=np.float32)[:, None], np.repeat(model.allowed, 75, 0))
+    names = {r.doc_id: r.lang_pred for r in language_id.identify(df, many).collect()}
+    assert int(names[2][1:]) // 75 == model.langs.index(at_once[2].lang_pred) and names[4] == "und"
+
+
 def test_licenses(spark):
     mit = license_scan.KNOWN["MIT text"]
     rows = [
