@@ -210,7 +210,8 @@ def _dealt(met: DataFrame) -> DataFrame:
     """met (key, side, ..) with gid: the cell, or one of the pairs of blocks of a cell of many vectors."""
     count = lambda s: F.ceil(F.count_if(F.col("side") == s) / CELL)
     many = met.groupBy("key").agg(count(0).alias("pa"), count(1).alias("pb")).where("pa > 1 or pb > 1")
-    met = met.join(many, "key", "left").withColumns({"pa": F.coalesce("pa", F.lit(1)), "pb": F.coalesce("pb", F.lit(1))})
+    many = written(many, "many")  # a row for CELL vectors at least
+    met = met.join(F.broadcast(many) if many.count() <= BROADCAST_IDS // 4 else many.hint("merge"), "key", "left").withColumns({"pa": F.coalesce("pa", F.lit(1)), "pb": F.coalesce("pb", F.lit(1))})
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("pa")).otherwise(F.col("pb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("pb")).otherwise(F.col("pa")) - 1))
     met = met.withColumn("mine", mine).withColumn("other", other)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, only_ids, written
+from ._common import BROADCAST_IDS, components, only_ids, written
 from ._words import U, Words, firsts, mix, slices, utf8, windows
 
 BITS = 1024
@@ -365,8 +365,9 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         else:
             rest = now.join(open_keys.select("key"), "key", "left_semi")
             many = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+            many = written(many, "many")  # a row for BLOCK members at least
             # a key of many members is dealt out over pairs of blocks; within a pair of blocks each pair meets once
-            rest = rest.join(many, "key", "left").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
+            rest = rest.join(F.broadcast(many) if many.count() <= BROADCAST_IDS // 4 else many.hint("merge"), "key", "left").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
             rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
             rest = rest.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))))
             rest = written(rest.select("key", "doc_id", "comp").join(marks, "doc_id"), "open")
