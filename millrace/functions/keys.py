@@ -123,8 +123,9 @@ def decode_token(token: str) -> str:
 
 
 def percent_decode(text: Column) -> Column:
-    """%xx decoded, + kept; a text with a malformed escape stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """%xx decoded escape by escape, + kept; what is no escape stays as it is."""
+    escapes = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(F.replace(escapes, F.lit("+"), F.lit("%2B"))), text)
 
 
 def path_bucket(path: Column) -> Column:

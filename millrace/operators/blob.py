@@ -38,11 +38,10 @@ def read_segments(refs: DataFrame, stored: DataFrame) -> DataFrame:
     return each.join(stored, ["blob", "entry_id"])
 
 
-def reassemble(stored: DataFrame, by: str = "blob", order: tuple[str, ...] = ("entry_id",)) -> DataFrame:
+def reassemble(stored: DataFrame, by: str | tuple[str, ...] = "blob", order: tuple[str, ...] = ("entry_id",)) -> DataFrame:
     """by, data: the chunks of each object in order. An object is one row, as it is wherever it is read."""
-    whole = F.array_sort(F.collect_list(F.struct(*order, "data")))
-    hexed = F.array_join(F.transform(whole, lambda x: F.hex(x["data"])), "")
-    return stored.groupBy(by).agg(F.unhex(hexed).alias("data"))
+    keys = [by] if isinstance(by, str) else list(by)
+    return stored.groupBy(*keys).agg(F.expr(f"listagg(data, X'') WITHIN GROUP (ORDER BY {', '.join(order)})").alias("data"))
 
 
 def damaged(stored: DataFrame) -> DataFrame:
@@ -50,6 +49,30 @@ def damaged(stored: DataFrame) -> DataFrame:
     return stored.where(crc32c_fast(F.col("data")) != F.col("crc").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def sound(data: Column, crc: Column, expected: Column) -> Column:
+    """The bytes of a chunk; an error if it is missing, of another length than expected, or damaged."""
+    wrong = F.when(data.isNull(), "missing chunk").when(F.octet_length(data) != expected, "chunk of a wrong length").when(crc32c_fast(data) != crc, "damaged chunk")
+    return F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(data)
+
+
+def audit(parts: DataFrame, stored: DataFrame) -> DataFrame:
+    """blob, part_number, status of each part (blob, part_number, len, chunk, crc) held against the chunks stored: ok,
+    missing (a chunk is not there), length, chunk (a chunk's checksum is not that of its bytes) or part (the part's)."""
+    n = F.greatest(F.ceil(F.col("len") / F.col("chunk")), F.lit(0)).cast("bigint")
+    want = parts.where("len > 0").withColumn("entry_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    got = stored.select("blob", F.col("entry_id").cast("bigint").alias("entry_id"), "data", F.col("crc").alias("chunk_crc"))
+    both = want.join(got, ["blob", "entry_id"], "left")
+    length = F.least(F.col("chunk").cast("bigint"), F.col("len") - F.col("entry_id") * F.col("chunk"))
+    keys = ["blob", "part_number"]
+    found = both.groupBy(*keys).agg(
+        F.bool_or(F.col("data").isNull()).alias("missing"), F.bool_or(F.octet_length("data") != length).alias("length"), F.bool_or(crc32c_fast(F.col("data")) != F.col("chunk_crc")).alias("chunk"),
+        F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY entry_id)").alias("whole"), F.first("crc").alias("crc"),
+    )
+    status = F.when(F.col("missing"), "missing").when(F.col("length"), "length").when(F.col("chunk"), "chunk").when(crc32c_fast(F.col("whole")) != F.col("crc"), "part").otherwise("ok")
+    empty = parts.where("len = 0").select(*keys, F.when(F.col("crc") == 0, "ok").otherwise("part").alias("status"))
+    return found.select(*keys, status.alias("status")).union(empty)
+
+
 def resolve_range(first: Column, last: Column, total: Column) -> tuple[Column, Column]:
     """Inclusive (from, to) of a request: last < 0 is open-ended, first < 0 the last so many bytes (in last); overhang is
     clamped; both null if the range cannot be satisfied."""

@@ -40,6 +40,17 @@ def overlapping(tables: DataFrame, low: str, high: str) -> DataFrame:
     return tables.where((F.col("min_key") <= high) & (F.col("max_key") >= low))
 
 
+def hull(tables: DataFrame, level: int) -> DataFrame:
+    """One row: the least and greatest key of a level's tables."""
+    return tables.where(F.col("level") == level).agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"))
+
+
+def level_stalled(tables: DataFrame, by: str, limit: int = L0_STALL) -> DataFrame:
+    """by, files, stalled: whether writers of each partition must wait for a compaction."""
+    n = tables.groupBy(by).agg(F.count_if(F.col("level") == 0).alias("files"))
+    return n.withColumn("stalled", F.col("files") >= limit)
+
+
 def pick_inputs(tables: DataFrame, trigger: int = L0_TRIGGER, base: int = LEVEL_BYTES, growth: int = LEVEL_GROWTH) -> tuple[list, int, bool] | None:
     """(tables, output level, bottommost) on the driver, from table metadata; None if nothing is due."""
     level = pick_level(tables, trigger, base, growth).first()[0]
@@ -47,7 +58,7 @@ def pick_inputs(tables: DataFrame, trigger: int = L0_TRIGGER, base: int = LEVEL_
         return None
     mine = tables.where(F.col("level") == level).orderBy("ledger")
     seed = mine.collect() if level == 0 else mine.limit(1).collect()
-    low, high = min(t.min_key for t in seed), max(t.max_key for t in seed)
+    low, high = hull(tables.join(tables.sparkSession.createDataFrame([(t.ledger,) for t in seed], "ledger long"), "ledger", "left_semi"), level).first()
     more = overlapping(tables.where(F.col("level") == level + 1), low, high).collect()
     return [*seed, *more], level + 1, tables.where(F.col("level") > level + 1).isEmpty()
 

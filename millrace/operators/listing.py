@@ -27,6 +27,17 @@ def versions(live: DataFrame, key: str = "key") -> DataFrame:
     return live.withColumns({"version_id": F.lit("null"), "is_latest": F.lit(True)})
 
 
+def version_page(live: DataFrame, prefix: str = "", delimiter: str = "", key_marker: str | None = None, limit: int = 1000, key: str = "key") -> DataFrame:
+    """entry, is_prefix, version_id, is_latest: a page of versions and common prefixes, after the marker. A marker that
+    ends in the delimiter is a common prefix and leaves out all keys under it."""
+    rows = live if key_marker is None else live.where(F.col(key) > key_marker)
+    if key_marker is not None and delimiter and key_marker.endswith(delimiter):
+        rows = rows.where(~F.startswith(key, F.lit(key_marker)))
+    got = roll_up(rows, prefix, delimiter, key).orderBy("entry").limit(limit)
+    one = ~F.col("is_prefix")
+    return got.select("entry", "is_prefix", F.when(one, "null").alias("version_id"), F.when(one, F.lit(True)).alias("is_latest"))
+
+
 def uploads(df: DataFrame, prefix: str = "", key_marker: str | None = None, upload_marker: str | None = None, limit: int = 1000) -> DataFrame:
     """Uploads in flight by (key, upload_id), after the markers; sorted before it is cut."""
     out = df.where(F.startswith("key", F.lit(prefix))) if prefix else df

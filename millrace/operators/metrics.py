@@ -9,7 +9,7 @@ from ..functions.keys import escape_label, unescape_label
 
 KEEP = 60
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?$"
-LABEL = r'([^=,{}\s]+)\s*=\s*"((?:[^"\\]|\\.)*)"'
+LABEL = r'([^=,{}\s]+)\s*=\s*"((?:[^"\\]|\\.)*+)"'
 
 
 def parse(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resolve import DELETE, PUT, live
@@ -75,13 +75,22 @@ def conditional_delete(view: DataFrame, wanted: DataFrame, p: Column, l: Column,
 
 
 def batch_delete(keys: DataFrame, quiet: bool = False) -> DataFrame:
-    """key, status for a batch: invalid keys are errors; successes are hidden when quiet."""
+    """keys (key and whatever else) with status: invalid keys are errors; successes are hidden when quiet."""
     from ..functions.keys import valid_key
 
-    out = keys.select("key", F.when(valid_key(F.col("key")), "deleted").otherwise("error").alias("status"))
+    out = keys.select("*", F.when(valid_key(F.col("key")), "deleted").otherwise("error").alias("status"))
     return out.where("status = 'error'") if quiet else out
 
 
+def admit_uploads(requests: DataFrame, open_uploads: DataFrame, most: int, by: str = "bucket", order: str = "upload_id") -> DataFrame:
+    """requests with status: ok, or busy beyond so many uploads in flight of a bucket. Requests are admitted in order; a
+    bucket has few in flight, so its window is small, and requests keep all their columns (metadata too)."""
+    flying = open_uploads.groupBy(by).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    out = requests.join(flying, by, "left").withColumn("status", F.when(rank + F.coalesce("_n", F.lit(0)) <= most, "ok").otherwise("busy"))
+    return out.drop("_n")
+
+
 def bucket_is_empty(facts: DataFrame, ranges: DataFrame) -> bool:
     """Whether a bucket may be dropped without force: no live object."""
     return live(facts, ranges).limit(1).isEmpty()

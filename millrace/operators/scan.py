@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import decode_token, encode_token, prefix_successor
@@ -83,6 +83,31 @@ def pages(view: DataFrame, query: ScanQuery, key: str = "key"):
         query = replace(query, after=got.next)
 
 
+def paged(view: DataFrame, size: int, key: str = "key") -> DataFrame:
+    """view with page (from 1): all pages of so many rows in order of key, as one plan. Ranges of keys are numbered each
+    by itself and shifted by the rows before them, a row a range."""
+    ranges = view.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    sized = ranges.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    n = sized.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = sized.join(F.broadcast(before.drop("_n")), "_part")
+    return out.withColumn("page", F.ceil((F.col("_b") + F.col("_r")) / size)).drop("_part", "_r", "_b")
+
+
+def clamped(text: Column, uploads: bool = False) -> Column:
+    """Page size of each request: 1000 if missing, kept within 1 .. 1000. No number: 1000, or null (an error) for upload
+    listings, where less than 1 is 1000 too."""
+    n = text.try_cast("int")
+    if uploads:
+        return F.when(text.isNull(), PAGE).when(n.isNotNull(), F.when(n < 1, PAGE).otherwise(F.least(n, F.lit(LARGEST_PAGE))))
+    return F.when(text.isNull() | n.isNull(), PAGE).otherwise(F.greatest(F.least(n, F.lit(LARGEST_PAGE)), F.lit(1)))
+
+
+def dashboard_clamped(n: Column) -> Column:
+    """Page size of the dashboard: 100 outside 1 .. 1000."""
+    return F.when((n >= 1) & (n <= LARGEST_PAGE), n).otherwise(100)
+
+
 def page_size(text: str | None) -> int:
     """Page size of a request: 1000 if missing or no number, kept within 1 .. 1000."""
     try:

@@ -6,6 +6,7 @@ call needs it.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,19 +16,22 @@ from ..functions.keys import crc32c_fast, encode_token, etag
 from ..operators import blob, listing, mutations
 from ..operators import scan as S
 from ..operators.clock import stamp
-from .store import Bucket
+from .store import Bucket, Busy
 
 PUT = 1
 
 
 class Objects:
-    def __init__(self, bucket: Bucket, chunk: int = blob.CHUNK, min_part: int = blob.MIN_PART):
-        self.bucket, self.spark, self.chunk, self.min_part = bucket, bucket.spark, chunk, min_part
+    def __init__(self, bucket: Bucket, chunk: int = blob.CHUNK, min_part: int = blob.MIN_PART, most_uploads: int = 1000):
+        self.bucket, self.spark, self.chunk, self.min_part, self.most_uploads = bucket, bucket.spark, chunk, min_part, most_uploads
 
     # ---- writes
 
     def put_all(self, rows: DataFrame, owner: str | None = None) -> int:
-        """rows (key, data binary, optionally content_type, user_meta): one commit for all."""
+        """rows (key, data binary, optionally content_type, user_meta, and token with seq): one commit for all. Of rows of
+        one token the first by seq counts."""
+        if "token" in rows.columns:
+            rows = mutations.first_of_token(rows).drop("token", "seq")
         run = uuid.uuid4().hex
         now = self.bucket.clock.wall()
         rows = stamp(rows.withColumn("blob", F.xxhash64("key", F.lit(run))), self.bucket.clock).cache()
@@ -79,7 +83,8 @@ class Objects:
 
     def get_all(self, keys: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
         """key, data of live objects (of the keys given), whole or the inclusive range; ranges that an object cannot
-        satisfy give no row. Chunk checksums are held against the bytes."""
+        satisfy give no row. A chunk that is missing, of a wrong length or damaged is an error, and so is a whole part
+        whose checksum is not that of its bytes, or an object of a wrong length: bytes are right or not given."""
         view = self.bucket.live()
         if keys is not None:
             view = view.join(keys.select("key").distinct(), "key", "left_semi")
@@ -91,17 +96,22 @@ class Objects:
         each = view.select("key", low.alias("low"), high.alias("high"), F.posexplode("parts").alias("at", "part"))
         before = each.withColumn("upload_id", F.col("key")).select("key", "upload_id", "low", "high", F.col("at").alias("part_number"), F.col("part.len").alias("len"), "part")
         slices = blob.part_offsets(before).where((F.col("at") <= F.col("high")) & (F.col("at") + F.col("len") > F.col("low")))
-        seg = slices.select("key", "part_number", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"), F.col("part.chunk").alias("chunk"), F.explode("part.segs").alias("s"))
-        want = seg.select("key", "part_number", "from", "to", "chunk", F.col("s.blob").alias("blob"), F.explode(F.sequence("s.first", "s.last")).alias("entry_id"))
+        seg = slices.select("key", "part_number", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"), F.col("part.chunk").alias("chunk"), F.col("part.len").alias("len"), F.col("part.crc").alias("part_crc"), F.explode("part.segs").alias("s"))
+        want = seg.select("key", "part_number", "from", "to", "chunk", "len", "part_crc", F.col("s.blob").alias("blob"), F.explode(F.sequence("s.first", "s.last")).alias("entry_id"))
         base = F.col("entry_id") * F.col("chunk")
         want = want.where((base <= F.col("to")) & (base + F.col("chunk") > F.col("from")))
-        got = want.join(self.bucket.rows("chunks"), ["blob", "entry_id"])
+        got = want.join(self.bucket.rows("chunks"), ["blob", "entry_id"], "left")
         skip = F.greatest(F.lit(0).cast("bigint"), F.col("from") - base)
         take = F.least(F.col("chunk") - 1, F.col("to") - base) - skip + 1
-        sound = F.when(crc32c_fast(F.col("data")) != F.col("crc"), F.raise_error(F.lit("damaged chunk"))).otherwise(F.col("data"))
-        trimmed = got.withColumn("data", F.substring(sound, (skip + 1).cast("int"), take.cast("int")))
+        fine = blob.sound(F.col("data"), F.col("crc"), F.least(F.col("chunk").cast("bigint"), F.col("len") - base))
+        trimmed = got.withColumn("data", F.substring(fine, (skip + 1).cast("int"), take.cast("int")))
+        if first is None:  # parts are whole here
+            part = blob.reassemble(trimmed.withColumn("crc", F.col("part_crc")), ("key", "part_number", "crc"))
+            trimmed = part.withColumn("data", F.when(crc32c_fast(F.col("data")) != F.col("crc"), F.raise_error(F.lit("damaged part"))).otherwise(F.col("data"))).withColumn("entry_id", F.lit(0))
         whole = blob.reassemble(trimmed, "key", ("part_number", "entry_id"))
-        return view.select("key").join(whole, "key", "left").select("key", F.coalesce("data", F.lit(b"")).alias("data"))
+        out = view.select("key", (high - low + 1).alias("_n")).join(whole, "key", "left").withColumn("data", F.coalesce("data", F.lit(b"")))
+        right = F.when(F.octet_length("data") != F.col("_n"), F.raise_error(F.lit("object of a wrong length"))).otherwise(F.col("data"))
+        return out.select("key", right.alias("data"))
 
     def get(self, key: str, first: int | None = None, last: int | None = None) -> bytes | None:
         """The bytes; with first (and last) an inclusive range, negative first for the last so many bytes (in last)."""
@@ -131,16 +141,18 @@ class Objects:
 
     # ---- multipart
 
-    def create_upload(self, key: str, content_type: str | None = None) -> str:
+    def create_upload(self, key: str, content_type: str | None = None, user_meta: dict[str, str] | None = None) -> str:
+        if self.bucket.open_uploads().limit(self.most_uploads).count() >= self.most_uploads:
+            raise Busy(f"{self.most_uploads} uploads are in flight")
         upload = uuid.uuid4().hex
-        self._upload(upload, key, content_type, True)
+        self._upload(upload, key, content_type, json.dumps(user_meta) if user_meta else None, True)
         return upload
 
-    def _upload(self, upload: str, key: str, content_type: str | None, is_open: bool, **more: DataFrame) -> int:
+    def _upload(self, upload: str, key: str, content_type: str | None, user_meta: str | None, is_open: bool, **more: DataFrame) -> int:
         p, l, _ = self.bucket.clock.tick()
-        row = (upload, key, content_type, self.bucket.clock.wall(), is_open, p * 1_000_000 + l)
+        row = (upload, key, content_type, user_meta, self.bucket.clock.wall(), is_open, p * 1_000_000 + l)
         facts = more.pop("facts", None)
-        return self.bucket.commit(facts, uploads=self.spark.createDataFrame([row], "upload_id string, key string, content_type string, created_at long, open boolean, seq long"), **more)
+        return self.bucket.commit(facts, uploads=self.spark.createDataFrame([row], "upload_id string, key string, content_type string, user_meta string, created_at long, open boolean, seq long"), **more)
 
     def _open(self, upload: str):
         row = self.bucket.open_uploads().where(F.col("upload_id") == upload).first()
@@ -150,22 +162,30 @@ class Objects:
 
     def upload_part(self, upload: str, number: int, data: bytes) -> int:
         """Writes a part, replacing an earlier one of its number; gives its checksum."""
+        return self._part(upload, number, self.spark.createDataFrame([(bytearray(data),)], "data binary"))
+
+    def _part(self, upload: str, number: int, data: DataFrame) -> int:
+        """data: one row."""
         self._open(upload)
         if not 1 <= number <= blob.MAX_PARTS:
             raise ValueError("part number")
         p, l, _ = self.bucket.clock.tick()
-        df = self.spark.createDataFrame([(upload, number, p * 1_000_000 + l, bytearray(data))], "upload_id string, part_number int, seq long, data binary")
+        df = data.select(F.lit(upload).alias("upload_id"), F.lit(number).alias("part_number"), F.lit(p * 1_000_000 + l).cast("bigint").alias("seq"), "data")
         df = df.withColumns({"blob": F.xxhash64("upload_id", "part_number", "seq"), "len": F.octet_length("data").cast("bigint"), "chunk": F.lit(self.chunk), "crc": crc32c_fast(F.col("data"))}).cache()
         self.bucket.commit(parts=df.drop("data"), chunks=blob.chunks(df, "blob", "data", self.chunk))
-        crc = df.first().crc
+        crc = df.select("crc").first().crc
         df.unpersist()
         return crc
 
     def upload_part_copy(self, upload: str, number: int, src: str, first: int | None = None, last: int | None = None) -> int:
-        data = self.get(src, first, last)
-        if data is None:
-            raise KeyError(src)
-        return self.upload_part(upload, number, data)
+        """The bytes go from chunks to chunks on the executors."""
+        data = self.get_all(self.spark.createDataFrame([(src,)], "key string"), first, last).select("data").cache()
+        try:
+            if data.select(F.lit(1)).isEmpty():
+                raise KeyError(src)
+            return self._part(upload, number, data)
+        finally:
+            data.unpersist()
 
     def complete_upload(self, upload: str, listed: list[tuple[int, int]]) -> int:
         """listed: (part number, checksum) in ascending order; parts left out are dropped."""
@@ -178,14 +198,14 @@ class Objects:
         segs = F.when(F.col("len") > 0, F.array(F.struct("blob", F.lit(0).cast("bigint").alias("first"), F.floor((F.col("len") - 1) / F.col("chunk")).alias("last")))).otherwise(F.array().cast("array<struct<blob:bigint,first:bigint,last:bigint>>"))
         whole = blob.assemble(want, parts.withColumn("segs", segs)).select(F.lit(up.key).alias("key"), F.transform("parts", lambda x: F.struct(x["len"].alias("len"), x["chunk"].alias("chunk"), x["crc"].alias("crc"), x["segs"].alias("segs"))).alias("parts"))
         p, l, n = self._tick()
-        fact = whole.withColumns({"p": p, "l": l, "n": n, "type": F.lit(PUT), "content_type": F.lit(up.content_type), "created_at": F.lit(self.bucket.clock.wall()).cast("bigint")})
-        return self._upload(upload, up.key, up.content_type, False, facts=fact)
+        fact = whole.withColumns({"p": p, "l": l, "n": n, "type": F.lit(PUT), "content_type": F.lit(up.content_type), "user_meta": F.from_json(F.lit(up.user_meta), "map<string,string>"), "created_at": F.lit(self.bucket.clock.wall()).cast("bigint")})
+        return self._upload(upload, up.key, up.content_type, up.user_meta, False, facts=fact)
 
     def abort_upload(self, upload: str) -> None:
         """Closes an upload; one that is not open is fine."""
         row = self.bucket.open_uploads().where(F.col("upload_id") == upload).first()
         if row is not None:
-            self._upload(upload, row.key, row.content_type, False)
+            self._upload(upload, row.key, row.content_type, row.user_meta, False)
 
     def uploads(self, prefix: str = "", **markers) -> DataFrame:
         return listing.uploads(self.bucket.open_uploads(), prefix, **markers)

@@ -55,3 +55,68 @@ def test_multipart(store):
     store.bucket.maintain(now=2**50, grace=0, upload_ttl=1000)
     assert store.get("m") == b"hello world" and store.uploads().count() == 0 and store.bucket.rows("chunks").count() < before
     assert len(store.bucket.snapshot().facts) == 1
+
+
+def test_reads_are_right_or_fail(spark, tmp_path):
+    import dataclasses
+
+    store = Objects(Bucket(spark, str(tmp_path / "b"), 2), chunk=4)
+    store.put("k", b"0123456789")
+    chunks = store.bucket.rows("chunks").toPandas()
+    good = store.bucket.snapshot()
+
+    def with_chunks(rows):
+        df = spark.createDataFrame([(r.blob, r.entry_id, r.crc, bytearray(r.data)) for r in rows.itertuples()], "blob long, entry_id long, crc long, data binary")
+        name = store.bucket._write(df, "chunks", False)
+        now = store.bucket.snapshot()
+        store.bucket._publish(dataclasses.replace(good, version=now.version + 1, chunks=[name]))
+
+    for k in range(3):
+        with_chunks(chunks[chunks.entry_id != k])
+        with pytest.raises(Exception, match="missing chunk"):
+            store.get("k")
+    with_chunks(chunks[chunks.entry_id != 2])
+    assert store.get("k", 0, 5) == b"012345"
+    bad = chunks.copy()
+    bad["data"] = [b"012x" if e == 0 else d for e, d in zip(bad.entry_id, bad.data)]
+    with_chunks(bad)
+    with pytest.raises(Exception, match="damaged chunk"):
+        store.get("k")
+    short = chunks.copy()
+    short["data"] = [d[:-1] for d in short.data]
+    with_chunks(short)
+    with pytest.raises(Exception, match="wrong length"):
+        store.get("k")
+    with_chunks(chunks[chunks.entry_id == 0])
+    with pytest.raises(Exception, match="missing chunk"):
+        store.get("k")
+
+
+def test_snapshots_are_whole_and_exclusive(spark, tmp_path):
+    import dataclasses
+
+    from millrace.sources.store import Busy, Conflict
+
+    b = Bucket(spark, str(tmp_path / "b"), 2, stall=2)
+    store = Objects(b, chunk=4, most_uploads=1)
+    store.put("a", b"1")
+    (tmp_path / "b" / "snapshots" / "draft-of-a-dead-writer").write_text("{")
+    assert b.snapshot().version == 1
+    with pytest.raises(Conflict):
+        b._publish(dataclasses.replace(b.snapshot()))
+    store.put("a", b"2")
+    with pytest.raises(Busy):
+        store.put("a", b"3")
+    old = b.snapshot()
+    now = b.clock.wall()
+    b.compact(now, 0)
+    assert b.collect(now, 3_600_000) == 0 and b.log(version=old.version).count() == 2  # readers of the old version go on
+    assert b.collect(now + 2 * 3_600_000, 3_600_000) >= 2 and store.get("a") == b"2"
+    u = store.create_upload("m", "text/plain", {"k": "v"})
+    with pytest.raises(Busy):
+        store.create_upload("n")
+    store.complete_upload(u, [(1, store.upload_part(u, 1, b"x"))])
+    assert store.head("m").user_meta == {"k": "v"} and store.head("m").content_type == "text/plain"
+    store.bucket.compact(now, 0)
+    store.put_all(spark.createDataFrame([("t", bytearray(b"2"), "x", 2), ("t", bytearray(b"1"), "x", 1)], "key string, data binary, token string, seq long"))
+    assert store.get("t") == b"1"

@@ -129,7 +129,7 @@ def test_checksums(spark):
 def test_text_functions(spark):
     assert one(spark, K.etag(F.lit(-1), F.lit(3))) == "f" * 8 if False else one(spark, K.etag(F.lit(-1), F.lit(3))) == "0" * 24 + "f" * 8 + "-3"
     assert one(spark, K.etag_crc(F.lit('"nonsense"'))) is None
-    assert one(spark, K.percent_decode(F.lit("a%2Fb+c"))) == "a/b+c" and one(spark, K.percent_decode(F.lit("bad%zz"))) == "bad%zz"
+    assert one(spark, K.percent_decode(F.lit("a%2Fb+c"))) == "a/b+c" and one(spark, K.percent_decode(F.lit("bad%zz"))) == "bad%zz" and one(spark, K.percent_decode(F.lit("%41%zz%4%%e4%C3%A4"))) == "A%zz%4%\ufffdä"
     assert one(spark, K.parse_grant(F.lit("User:x:read+ADMIN"))) == ("User:x", ["ADMIN", "READ"]) and one(spark, K.parse_grant(F.lit("x:FLY"))) is None and one(spark, K.parse_grant(F.lit("x:"))) is None
     assert one(spark, K.operation_permissions(K.permission_operations(F.lit("full_control")))) == ["FULL_CONTROL"] and one(spark, K.permission_operations(F.lit("x"))) is None
     assert one(spark, K.user_metadata(F.create_map(F.lit("X-Amz-Meta-Color"), F.lit("red"), F.lit("Host"), F.lit("h")))) == {"color": "red"}
