@@ -141,18 +141,14 @@ def scan_all(s, d):
 
 @query(X.KEYSPACE + "SELECT key, CAST(ceil(row_number() OVER (ORDER BY key) / 100.0) AS BIGINT) AS page FROM live")
 def scan_pages(s, d):
-    """All pages of 100 keys, each gone on with from the cursor of the one before (the prefix keeps pages on the driver)."""
-    view = live(s, d).select("key").cache()
-    out = [(r.key, k) for k, got in enumerate(S.pages(view, S.ScanQuery(limit=100)), 1) for r in got.rows]
-    view.unpersist()
-    return s.createDataFrame(out, "key string, page long")
+    """All pages of 100 keys, numbered in one plan."""
+    return S.paged(live(s, d).select("key"), 100)
 
 
 @query(X.KEYSPACE + "SELECT key, p, l, n, len FROM live ORDER BY key LIMIT 100")
 def scatter_gather_page(s, d):
-    """A page gathered from the pages of eight hash partitions."""
-    parts = live(s, d).withColumn("part", K.partition_of(F.col("key"), 8)).repartition(8, "part")
-    return parts.orderBy("key").limit(100).select(*ROW)
+    """A page gathered from the pages of all partitions: each task keeps its first rows, one merges them."""
+    return live(s, d).orderBy("key").limit(100).select(*ROW)
 
 
 @query(X.KEYSPACE + "SELECT key, len FROM live ORDER BY len DESC NULLS LAST, key LIMIT 30")
@@ -263,10 +259,34 @@ def full_get_reassemble(s, d):
     return blob.reassemble(blob.read_segments(refs, c), order=("seq", "entry_id")).select("blob", F.md5("data").alias("md5"))
 
 
-@query("SELECT 0 AS damaged")
+_OCTETS = f"WITH {X.OBJECTS}, c AS (SELECT blob, length(h) // 2 AS n, unnest(range(0, length(h) // 2, {X.CHUNK})) // {X.CHUNK} AS e FROM obj WHERE length(h) > 0)"
+
+
+@query(_OCTETS + " SELECT blob, CAST(e AS INTEGER) AS entry_id FROM c WHERE (blob + e) % 7 = 3")
 def chunk_verify(s, d):
+    """One byte in front of every seventh chunk: those are found by their checksums."""
     c = blob.chunks(X.objects(s, d), "blob", "text", X.CHUNK)
-    return blob.damaged(c).agg(F.count("*").cast("int").alias("damaged"))
+    hit = (F.col("blob") + F.col("entry_id")) % 7 == 3
+    return blob.damaged(c.withColumn("data", F.when(hit, F.concat(F.lit(b"?"), F.col("data"))).otherwise(F.col("data")))).select("blob", "entry_id")
+
+
+@query(
+    _OCTETS + ", s AS (SELECT blob, max(e) AS last, max(n) AS n FROM c GROUP BY blob) SELECT d.doc_id AS blob, 1 AS part_number, CASE WHEN s.n IS NULL THEN 'ok' "
+    "WHEN d.doc_id % 6 = 1 THEN 'missing' WHEN d.doc_id % 6 = 2 THEN 'length' WHEN d.doc_id % 6 = 3 THEN 'chunk' WHEN d.doc_id % 6 = 4 THEN 'part' ELSE 'ok' END AS status FROM documents d LEFT JOIN s ON s.blob = d.doc_id"
+)
+def get_verified(s, d):
+    """Objects whose last chunk is lost, cut or altered, or whose part has another checksum: none of them reads as whole."""
+    o = X.objects(s, d)
+    kind = F.col("blob") % 6
+    some = F.octet_length("text") > 0
+    crc = K.crc32c_fast(F.coalesce("text", F.lit("")).cast("binary"))
+    parts = o.select("blob", F.lit(1).alias("part_number"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("len"), F.lit(X.CHUNK).alias("chunk"), F.when(some & (kind == 4), crc + 1).otherwise(crc).alias("crc"))
+    c = blob.chunks(o, "blob", "text", X.CHUNK)
+    last = c.groupBy("blob").agg(F.max("entry_id").alias("last"))
+    c = c.join(last, "blob").where((kind != 1) | (F.col("entry_id") < F.col("last")))
+    hit, data = F.col("entry_id") == F.col("last"), F.col("data")
+    data = F.when(hit & (kind == 2), F.concat(data, F.lit(b"!"))).when(hit & (kind == 3), F.overlay(data, F.lit(b"\x00"), F.lit(1))).otherwise(data)
+    return blob.audit(parts, c.withColumn("data", data).drop("last"))
 
 
 _WANT = "w AS (SELECT blob, length(h) // 2 AS total, CASE WHEN blob % 4 = 0 THEN -1 ELSE blob % 700 END AS first, CASE blob % 4 WHEN 1 THEN -1 ELSE blob % 900 END AS last FROM obj), r AS (SELECT *, CASE WHEN first < 0 THEN greatest(0, total - last) ELSE first END AS low, CASE WHEN first < 0 OR last < 0 THEN total - 1 ELSE least(last, total - 1) END AS high FROM w), f AS (SELECT blob, total, first, last, CASE WHEN total > 0 AND low < total AND NOT (first < 0 AND last <= 0) THEN low END AS lo, CASE WHEN total > 0 AND low < total AND NOT (first < 0 AND last <= 0) THEN high END AS hi FROM r)"
@@ -352,21 +372,21 @@ def token_dedup(s, d):
     return mutations.first_of_token(e.select(token.alias("token"), F.col("event_id").alias("seq"), "value"))
 
 
-_COPY = "(SELECT key, 'c/' || substr(key, 3) AS dst, len FROM live WHERE starts_with(key, 'u/0001'))"
+_COPY = "(SELECT key, 'c/' || substr(key, 3) AS dst, len FROM live )"
 
 
 @query(X.KEYSPACE + f"SELECT key, len FROM live UNION ALL SELECT dst, len FROM {_COPY}")
 def copy_result(s, d):
     view = live(s, d)
-    pairs = view.where("key like 'u/0001%'").select(F.col("key").alias("src"), F.concat(F.lit("c/"), F.substring("key", 3, 100)).alias("dst"))
+    pairs = view.select(F.col("key").alias("src"), F.concat(F.lit("c/"), F.substring("key", 3, 100)).alias("dst"))
     new = mutations.copy(view, pairs, F.lit(2**60).cast("bigint"), F.lit(0), F.lit(0), F.lit(0))
     return resolve.live(X.facts(s, d).unionByName(new), X.ranges(s, d)).select("key", "len")
 
 
-@query(X.KEYSPACE + f"SELECT key, len FROM live WHERE NOT starts_with(key, 'u/0001') UNION ALL SELECT dst, len FROM {_COPY}")
+@query(X.KEYSPACE + f"SELECT dst AS key, len FROM {_COPY}")
 def rename_result(s, d):
     view = live(s, d)
-    pairs = view.where("key like 'u/0001%'").select(F.col("key").alias("src"), F.concat(F.lit("c/"), F.substring("key", 3, 100)).alias("dst"))
+    pairs = view.select(F.col("key").alias("src"), F.concat(F.lit("c/"), F.substring("key", 3, 100)).alias("dst"))
     new = mutations.copy(view, pairs, F.lit(2**60).cast("bigint"), F.lit(0), F.lit(0), F.lit(0), rename=True)
     return resolve.live(X.facts(s, d).unionByName(new), X.ranges(s, d)).select("key", "len")
 
@@ -390,7 +410,7 @@ def conditional_delete(s, d):
 def batch_delete(s, d):
     e = X.table(s, d, "events")
     key = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.repeat(F.lit("k"), (F.col("event_id") % 50 + 1000).cast("int"))).otherwise(F.concat(F.lit("a/"), F.col("event_id").cast("string")))
-    return e.select("event_id", F.when(K.valid_key(key), "deleted").otherwise("error").alias("status"))
+    return mutations.batch_delete(e.select("event_id", key.alias("key"))).drop("key")
 
 
 # ---- compaction, garbage
@@ -568,11 +588,11 @@ def grant_text(s, d):
 # ---- text functions
 
 
-@query("SELECT doc_id, replace(source, 's', 'S') || ' +/' AS decoded, 'b' AS bucket, 'k/' || doc_id AS key FROM documents")
+@query("SELECT doc_id, replace(source, 's', 'S') || ' +/A%zz%4%' AS decoded, 'b' AS bucket, 'k/' || doc_id AS key FROM documents")
 def path_decode(s, d):
     t = X.table(s, d, "documents")
     path = F.concat(F.lit("/b/k/"), F.col("doc_id").cast("string"))
-    return t.select("doc_id", K.percent_decode(F.concat(F.replace("source", F.lit("s"), F.lit("%53")), F.lit("%20+%2F"))).alias("decoded"), K.path_bucket(path).alias("bucket"), K.path_key(path).alias("key"))
+    return t.select("doc_id", K.percent_decode(F.concat(F.replace("source", F.lit("s"), F.lit("%53")), F.lit("%20+%2F%41%zz%4%"))).alias("decoded"), K.path_bucket(path).alias("bucket"), K.path_key(path).alias("key"))
 
 
 @query("SELECT doc_id, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b / 1024.0 >= 100 THEN printf('%.0f KiB', round(b / 1024.0, 0)) WHEN b / 1024.0 >= 10 THEN printf('%.1f KiB', round(b / 1024.0, 1)) ELSE printf('%.2f KiB', round(b / 1024.0, 2)) END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS b FROM documents)")

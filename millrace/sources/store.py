@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import partition_of, partition_of_key, valid_key
 from ..operators.blob import latest_parts
-from ..operators.clock import HybridClock
-from ..operators.compaction import GRACE_MILLIS, L0_STALL, compact, expired_uploads, referenced
+from ..operators.clock import MAX_SKEW_MILLIS, HybridClock
+from ..operators.compaction import L0_STALL, compact, expired_uploads, referenced
 from ..operators.resolve import live, max_clock
 
 FACTS = (
@@ -51,9 +51,9 @@ class Busy(RuntimeError):
 
 
 class Bucket:
-    def __init__(self, spark: SparkSession, path: str, partition_count: int = 8, node: int = 0, stall: int = L0_STALL):
+    def __init__(self, spark: SparkSession, path: str, partition_count: int = 8, node: int = 0, stall: int = L0_STALL, max_skew: int = MAX_SKEW_MILLIS):
         self.spark, self.path, self.partition_count, self.stall = spark, path.rstrip("/"), partition_count, stall
-        self.clock = HybridClock(node)
+        self.clock = HybridClock(node, max_skew=max_skew)
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         newest = max_clock(self.log(), self.ranges()).first()
@@ -198,10 +198,11 @@ class Bucket:
             self.drop_orphans()
         self.collect(now, grace)
 
-    def collect(self, now: int, grace: int = GRACE_MILLIS) -> int:
+    def collect(self, now: int | None = None, grace: int = 0) -> int:
         """Deletes the files that have been obsolete for the grace time, then says so in a version of its own. Readers of
-        a version have that long to end."""
+        a version have that long to end; without a grace time they must be gone."""
         old = self.snapshot()
+        now = self.clock.wall() if now is None else now
         due = [f for f, at in old.obsolete if at <= now - grace]
         for f in due:
             self._fs.delete(self._path(f), True)

@@ -41,7 +41,8 @@ def last_n(stream: DataFrame, n: int = 60) -> DataFrame:
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "key"):
-    """Starts a query that keeps the winners of a stream of facts in a table of versions; batches may arrive in any order
+    """Starts a query that keeps the winners of a stream of facts in a table of versions, for tables of some batches'
+    size (see append_upserts for larger ones); batches may arrive in any order
     and again, since the clock decides. The folder of a batch is named by its number, so a retry writes the same."""
     spark = stream.sparkSession
 
@@ -54,6 +55,26 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "key"):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def append_upserts(stream: DataFrame, path: str, checkpoint: str, key: str = "key"):
+    """Starts a query that appends the winners of each batch under the batch's number, so a retry writes the same, and
+    work follows the batch and not the table. Read it with current()."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        lww(batch, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def current(spark, path: str, schema: str, key: str = "key") -> DataFrame:
+    """The winners of all batches of append_upserts(): merged on reading, in whatever order the batches came."""
+    return lww(spark.read.schema(schema + ", batch bigint").parquet(path).drop("batch"), key)
+
+
+def first_of_tokens(stream: DataFrame, time: str, keep: str, token: str = "token") -> DataFrame:
+    """Rows of a stream of requests whose token has not come within the time kept before; state goes with the watermark."""
+    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark([token])
+
+
 def tail(spark, path: str, schema: str) -> DataFrame:
     """New files of a log as a stream."""
     return spark.readStream.schema(schema).parquet(path)

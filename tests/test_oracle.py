@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalog
+from millrace.plans import catalog, extensions, store_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
