@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from ._words import U, equal_spans, slices, span_hashes, utf8
 
 #: A corpus of the replay: so many bytes of whole texts. Pieces kept from earlier corpora of the same worker.
-CORPUS_BYTES, KEPT_PIECES = 24 << 20, 1 << 20
+CORPUS_BYTES, KEPT_PIECES = 8 << 20, 1 << 19
 NEVER = np.int32(2**31 - 1)
 #: White_Space of Unicode.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -14,7 +14,7 @@ in more. Sets whose segments cannot cost so much (poor sets: too many weak subse
 themselves they are indexed once more, by fewer and larger segments with deletions; those that are poor again (next to
 none) by the plain scheme, in which every subset counts. Sets near a band's upper end are indexed in the next band too.
 
-What sets of one block (an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of all
+What sets of one block (HELD_KEYS keys of an Arrow batch) share is settled there: a key goes on once a block, so a key that a third of all
 sets hold is as many rows as there are blocks. Candidates are never all pairs of a key's members: copies of a word sequence are one node,
 and in each round members are compared with one pivot of the key, members already connected to it being left out. What is
 still in different components of a key after the rounds is compared pair by pair, a key of many members being dealt out
@@ -45,10 +45,12 @@ from ._words import U, Words, firsts, mix, slices, utf8, windows
 BITS = 1024
 BAND_GROWTH = 1.5
 #: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results.
-SHARED = 0.01
+SHARED = 0.001
 PIVOT_ROUNDS = 2
 #: Subsets of at most so many shingles may be called weak; of poor sets the cost model allows this share.
 MOST_WEAK, MOST_POOR = 4, 0.2
+#: Keys held at once by a worker: what sets of a block share is settled among so many.
+HELD_KEYS = 1 << 20
 #: Members of a key that are compared pair by pair in one block.
 BLOCK = 2000
 
@@ -267,8 +269,9 @@ def signatures(docs: DataFrame, rule: Rule, plan: dict[int, Plan]) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             ids = np.asarray(batch["doc_id"])
-            found, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for i, j in slices(offsets):
+            found, owners, held = [], [], 0
+            cuts = list(slices(offsets))
+            for i, j in cuts:
                 x, first, n = shingles(Words(data, offsets, i, j, lower=True), rule.width)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 band = np.searchsorted(bands, n, "right") - 1
@@ -277,11 +280,15 @@ def signatures(docs: DataFrame, rule: Rule, plan: dict[int, Plan]) -> DataFrame:
                     key, of_doc = keys(x, doc, n, b)
                     found.append(key)
                     owners.append(ids[i + of_doc])
-            key, doc = np.concatenate(found), np.concatenate(owners)
-            order, lead, more = firsts(key, doc)
-            key, doc = key[order], doc[order]
-            part = np.where(lead, key, mix(key ^ mix(doc.view(U))))
-            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(key.view(np.int64), mask=lead), pa.array(doc), pa.array(~lead | more)], names=["part", "key", "doc_id", "known"])
+                    held += len(key)
+                if held < HELD_KEYS and j < cuts[-1][1]:
+                    continue
+                key, doc = np.concatenate(found), np.concatenate(owners)
+                found, owners, held = [], [], 0
+                order, lead, more = firsts(key, doc)
+                key, doc = key[order], doc[order]
+                part = np.where(lead, key, mix(key ^ mix(doc.view(U))))
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(key.view(np.int64), mask=lead), pa.array(doc), pa.array(~lead | more)], names=["part", "key", "doc_id", "known"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "part long, key long, doc_id long, known boolean")
 
