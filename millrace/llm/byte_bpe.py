@@ -5,7 +5,9 @@ links to their neighbours; an inverted index leads from the rank of a token pair
 Ranks are taken from a heap in ascending order; all places of a rank are merged at once, and only the pairs with the
 touched neighbours are looked up again and indexed. A place that stands twice in one piece waits for the next turn of
 the same rank, so the order within each piece is that of lowest rank first, leftmost first. A pair newly made may have
-a lower rank than its parts; it then comes next, as in piecewise merging.
+a lower rank than its parts; it then comes next, as in piecewise merging. A piece of more than LONG bytes, such as a word
+of a whole text, would take as many turns as it has places of a rank; it is replayed by itself, by a heap of (rank, place),
+in time n log n.
 
 The pattern is GPT-2's: contractions, runs of letters, of digits, of other characters, each with a space before it,
 and white space. It is applied to whole columns by character classes.
@@ -31,6 +33,8 @@ from ._words import U, equal_spans, slices, span_hashes, utf8
 
 #: A corpus of the replay: so many bytes of whole texts. Pieces kept from earlier corpora of the same worker.
 CORPUS_BYTES, KEPT_PIECES = 8 << 20, 1 << 19
+#: Pieces of more bytes are replayed by themselves; it moves cost only.
+LONG = 512
 NEVER = np.int32(2**31 - 1)
 #: White_Space of Unicode.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -90,6 +94,7 @@ class Replay:
                 a, b = tokens.get(t[:k]), tokens.get(t[k:])
                 if a is not None and b is not None:
                     made[a << 32 | b] = r
+        self.made = made
         self.pair = np.array(sorted(made), np.int64)
         self.rank = np.array([made[x] for x in self.pair.tolist()] + [NEVER], np.int32)
         self.byte = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
@@ -149,7 +154,8 @@ class Replay:
         own = [self.tokens.get(raw[a:b], -1) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
         own = np.array(own, np.int32)
         whole = own >= 0
-        add(inner[~whole[word[inner]]])
+        long = ~whole & (np.diff(first) > LONG)
+        add(inner[~(whole | long)[word[inner]]])
         while heap:
             k = heapq.heappop(heap)
             at = index.pop(k)
@@ -185,8 +191,45 @@ class Replay:
         token[first[:-1][whole]] = own[whole]
         alive[np.flatnonzero(whole[word])] = False
         alive[first[:-1][whole]] = True
+        for k in np.flatnonzero(long).tolist():
+            a, b = int(first[k]), int(first[k + 1])
+            ids = self.replay_one(raw[a:b])
+            token[a : a + len(ids)] = ids
+            alive[a:b] = np.arange(b - a) < len(ids)
         return token[alive], np.bincount(word[alive], minlength=len(first) - 1)
 
+    def replay_one(self, piece: bytes) -> list[int]:
+        """Tokens of one piece: lowest rank first, leftmost first."""
+        made, n = self.made, len(piece)
+        token = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [made.get(a << 32 | b, -1) for a, b in zip(token, token[1:])] + [-1]
+        heap = [r << 40 | p for p, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            x = heapq.heappop(heap)
+            r, p = x >> 40, x & ((1 << 40) - 1)
+            if rank[p] != r:  # another merge has changed the pair that began here
+                continue
+            rank[after[p]] = -1
+            token[p], after[p] = r, after[after[p]]
+            s, left = after[p], before[p]
+            rank[p] = -1
+            if s < n:
+                before[s] = p
+                rank[p] = made.get(r << 32 | token[s], -1)
+                if rank[p] >= 0:
+                    heapq.heappush(heap, rank[p] << 40 | p)
+            if left >= 0:
+                rank[left] = made.get(token[left] << 32 | r, -1)
+                if rank[left] >= 0:
+                    heapq.heappush(heap, rank[left] << 40 | left)
+        out, p = [], 0
+        while p < n:
+            out.append(token[p])
+            p = after[p]
+        return out
+
     def learn(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Encodes the pieces of a corpus (text, first, end, hash of each) whose hash is not known yet."""
         texts, widths, names = [], [], []
