@@ -23,8 +23,9 @@ never above the difference of the sets); every other pair is verified on the shi
 apart by 128-bit BLAKE2b digests of their words; 64-bit hashes make candidates only.
 
 Defined results: null and empty texts have 0 shingles and are components of their own; texts with fewer words than a
-shingle are one shingle, the whole sequence; repeated texts are linked; an empty table gives an empty table; extra
-columns are not read. doc_id is unique and not null.
+shingle are one shingle, the whole sequence; repeated texts are linked; repeated rows of a doc_id are one document's, and
+each gets its row; a row without a doc_id links with nothing and has no component; an empty table gives an empty table;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -333,11 +334,11 @@ def near(bits_a: str, bits_b: str, n_a: str, n_b: str, rule: Rule):
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same word sequence), component_id."""
     found = written(features(docs, rule), "features")
-    full = found.where("n > 0")
+    full = found.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
-    member = written(found.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")), "member")
+    member = written(found.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "member")
     copies = written(member.where("doc_id <> class_id").select("doc_id"), "copies")
-    nodes = only_ids(docs.select("doc_id", "text"), copies, how="left_anti")
+    nodes = only_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, how="left_anti")
 
     bands = rule.bands()
     band = F.when(F.lit(False), F.lit(0))
