@@ -15,8 +15,9 @@ link that meets in several blocks counts in the first that is within its budget.
 Equal vectors of a label are one node with a count, so a vector that a third of all rows hold is one row.
 
 Defined results: a null label, a null vector, and one that is empty, zero or holds null, NaN or infinite values link
-with nothing; vectors of different lengths never link; ties and repeats link as any pair; vec_id is unique; an empty
-table gives an empty table; extra columns are not read.
+with nothing, and so does a row without a vec_id; vectors of different lengths never link; ties and repeats link as any
+pair; repeated rows of a vec_id are one vector, of several the greatest label and name; an empty table gives an empty
+table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, components, written
+from ._common import BROADCAST_IDS, components, only_ids, written
 from ._words import U, mix
 
 BLOCK, SLACK = 8, 1e-9
@@ -223,9 +224,13 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    sound = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     name = F.unhex(F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
     rows = written(rows.withColumn("sound", sound).withColumn("name", F.when(F.col("sound"), name)), "vectors")
+    twice = written(rows.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "twice")
+    if not twice.isEmpty():
+        once = only_ids(rows, twice, "vec_id").groupBy("vec_id").agg(F.max_by(F.struct("label", "embedding", "sound", "name"), F.struct("sound", "label", "name")).alias("x"))
+        rows = written(only_ids(rows, twice, "vec_id", "left_anti").unionByName(once.select("vec_id", "x.*")), "once")
     copies = rows.where("sound").groupBy("label", "name").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).where("n > 1")
     copies = written(copies.withColumnsRenamed({"label": "l", "name": "m"}), "copies")
     slim = rows.where("sound").select("vec_id", "label", "name")
@@ -266,4 +271,4 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     some = F.broadcast(linked) if linked.count() <= BROADCAST_IDS // 4 else linked.hint("merge")
     out = of.join(some, "node", "left").select("vec_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = out.union(rows.where("not sound").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
