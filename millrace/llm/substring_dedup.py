@@ -10,8 +10,8 @@ Both groupings first work within a block (an Arrow batch): what documents of one
 row a block and hash goes on. A hash that a third of all documents hold is thus as many rows as there are blocks.
 
 Defined results: a null or empty text has 0 words and the digest of nothing; texts of fewer than 50 words stay; repeated
-passages within one document stay; rows of equal doc_id are one document's and never shorten each other; null doc_id is
-not allowed; an empty table gives an empty table; extra columns are not read.
+passages within one document stay; rows of equal doc_id are one document's and never shorten each other; a row without a
+doc_id stays whole and shortens nothing; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with texts also kept_text, the kept words joined by one space."""
     docs = docs.select("doc_id", "text")
-    rows = docs.mapInArrow(_anchor_rows, "key long, h long, doc_id long, known boolean")
+    rows = docs.where("doc_id is not null").mapInArrow(_anchor_rows, "key long, h long, doc_id long, known boolean")
     w = Window.partitionBy("key")
     rows = rows.withColumns({"lo": F.min("doc_id").over(w), "hi": F.max("doc_id").over(w), "any": F.max("known").over(w)})
     # the anchors of a document: bounded by its length
