@@ -11,7 +11,7 @@ A line that a third of all documents hold is one row a task when counted. The li
 broadcast once they are counted as few (BROADCAST_LINES); beyond that both sides are dealt out over SALTS parts a line.
 
 Defined results: a null text counts as no words and fails the base rule; a null host is a host of its own; repeated
-rows of one doc_id are judged each; an empty table gives an empty table; other columns are carried by apply() only.
+rows of one doc_id, and rows without one, are judged each; an empty table gives an empty table; other columns are carried by apply() only.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import sized_join, written
@@ -135,6 +135,10 @@ def frequent_lines(stats: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """Statistics of each document, its verdict (base_failed, kept), and the places of its lines that go (dropped)."""
+    return _judged(docs, host).drop("host", "text_md5")
+
+
+def _judged(docs: DataFrame, host: str) -> DataFrame:
     stats = written(line_statistics(docs, host).withColumn("row", F.monotonically_increasing_id()), "stats")
     bad = written(frequent_lines(stats).withColumnsRenamed({"host": "of", "line": "bad"}), "lines")
     at = stats.select("row", "host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x"))
@@ -146,19 +150,28 @@ def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
         at = at.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
         hit = at.join(salted.hint("merge"), (F.col("line") == F.col("bad")) & (F.col("salt") == F.col("part")) & F.col("host").eqNullSafe(F.col("of")))
     gone = hit.groupBy("row").agg(F.sum("n").alias("words_gone"), F.sort_array(F.collect_list("place")).alias("dropped"))
-    out = stats.drop("lines", "line_words", "text_md5").join(gone, "row", "left").drop("row", "host")
+    out = stats.drop("lines", "line_words").join(gone, "row", "left").drop("row")
     left = F.col("n_words") - F.coalesce("words_gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fine = (left >= LEFT_MIN_WORDS) & (left >= LEFT_MIN_SHARE * F.col("n_words"))
     return out.withColumns({"words_gone": F.coalesce("words_gone", F.lit(0)), "base_failed": failed, "kept": ~failed & fine})
 
 
+def _name(doc_id: Column, host: Column, text_md5: Column) -> Column:
+    """What a row is known by, nulls told from values."""
+    parts = [F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("")) for x in (doc_id, host)]
+    return F.unhex(F.md5(F.concat_ws("\x1f", text_md5, *parts)))
+
+
 def apply(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents kept, with all their columns, without the lines that went. doc_id is unique here."""
-    found = verdicts(docs, host).where(~F.col("kept") | F.col("dropped").isNotNull())
-    edits = written(found.select("doc_id", "kept", "dropped"), "edits")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")  # whatever else docs has cannot clash
-    both = sized_join(rows, edits)
+    """The documents kept, with all their columns, without the lines that went. Edits belong to (doc_id, host, text), not
+    to the doc_id alone: rows that are equal in these have one verdict."""
+    found = _judged(docs, host).where(~F.col("kept") | F.col("dropped").isNotNull())
+    found = found.select(_name(F.col("doc_id"), F.col("host"), F.lower(F.hex("text_md5"))).alias("name"), "kept", "dropped")
+    edits = written(found.dropDuplicates(["name"]), "edits")
+    name = _name(F.col("doc_id"), F.col(host), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), "text")  # whatever else docs has cannot clash
+    both = sized_join(rows, edits, "name")
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     return both.where(F.coalesce("kept", F.lit(True))).select(F.col("row").withField("text", text).alias("row")).select("row.*")
