@@ -1,7 +1,7 @@
 """From raw documents to token counts: rules, near duplicates, personal data, mix, tokens.
 
-A null text, source or lang passes every stage that does not judge it; empty tables give empty results; doc_id is unique
-in the first three stages, and repeated afterwards as often as the mix takes a document.
+A null text, source, lang or doc_id passes every stage that does not judge it; empty tables give empty results; repeated
+rows go with the near duplicates, and a doc_id is repeated afterwards as often as the mix takes a document.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, surrogates
 from millrace.llm._common import only_ids, written
@@ -24,7 +25,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    """The document of smallest id of each group linked by five-word shingles at a similarity of 0.8 or more. Of rows with
+    one doc_id and text one stays; a row without a doc_id links with nothing and stays."""
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        once = only_ids(docs, twice).dropDuplicates(["doc_id", "text"])
+        docs = only_ids(docs, twice, how="left_anti").unionByName(once)
     found = ngram_join.link(docs, ngram_join.Rule(width=5, percent=80))
     gone = written(found.where("doc_id <> component_id").select("doc_id"), "gone")
     return only_ids(docs, gone, how="left_anti").select(docs.columns)
