@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, mixing, ngram_join, quality_rules, surrogates
-from millrace.llm._common import only_ids, written
+from millrace.llm._common import only_ids, small_batches, written
 from millrace.llm.queries import KEY, TEST_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,7 +50,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers of tokens, and digests of ids and of the bytes decoded from them."""
     import public_tokenizers
 
-    return byte_bpe.digests(docs, public_tokenizers.path(RANKS))
+    with small_batches(spark):
+        return written(byte_bpe.digests(docs, public_tokenizers.path(RANKS)), "tokens")
 
 
 STAGES: list[tuple[str, Stage]] = [

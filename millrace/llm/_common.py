@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most so many ids (16 bytes each in Spark's map of longs) may be broadcast; beyond it, both sides shuffle.
 BROADCAST_IDS = 4_000_000
+#: Bytes of an Arrow batch within small_batches(). Spark's own bounds, 10,000 rows or 64 MB, hold several times a batch of
+#: whole texts in the JVM, outside its heap, and once or twice more in the Python worker, for each task.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,6 +63,21 @@ def forget(df: DataFrame) -> None:
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run within goes to Python workers in batches of about size bytes (a longer row stands alone), unless the
+    session sets a bound itself. The bound is read when a plan is run, so the result must be written within."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df with (left_semi) or without (left_anti) an id of a written table. The ids are counted first: a small
     table is broadcast, so that the long rows of df stay where they are; beyond the limit both sides are shuffled."""

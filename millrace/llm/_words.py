@@ -89,11 +89,11 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about limit bytes; a longer document stands alone."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, most: int = 4096) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents, at most so many, of about limit bytes; a longer document stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1), i + 4096, n)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1), i + most, n)
         yield i, j
         i = j
 

@@ -32,7 +32,10 @@ from pyspark.sql import DataFrame
 from ._words import U, equal_spans, slices, span_hashes, utf8
 
 #: A corpus of the replay: so many bytes of whole texts. Pieces kept from earlier corpora of the same worker.
-CORPUS_BYTES, KEPT_PIECES = 8 << 20, 1 << 19
+CORPUS_BYTES, KEPT_PIECES = 4 << 20, 1 << 19
+#: Bytes of texts split or decoded at once, and of new pieces replayed at once: temporary arrays are up to 50 times as much.
+#: A longer text or piece stands alone.
+SPLIT_BYTES, REPLAY_BYTES = 1 << 18, 1 << 20
 #: Pieces of more bytes are replayed by themselves; it moves cost only.
 LONG = 512
 NEVER = np.int32(2**31 - 1)
@@ -122,13 +125,14 @@ class Replay:
     def encode(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pieces that lie one behind the other (first: their first bytes and the end), and how many each has."""
         n = len(text)
-        word = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        kind = np.int32 if n < NEVER else np.int64
+        word = np.repeat(np.arange(len(first) - 1, dtype=kind), np.diff(first))
         token, alive = self.byte[text], np.ones(n, bool)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         after[first[1:] - 1] = -1
         before[first[:-1]] = -1
         rank = np.full(n, NEVER, np.int32)
-        inner = np.flatnonzero(after >= 0)
+        inner = np.flatnonzero(after >= 0).astype(kind)
         rank[inner] = self.look(token[inner], token[inner + 1])
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -230,14 +234,20 @@ class Replay:
             p = after[p]
         return out
 
-    def learn(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Encodes the pieces of a corpus (text, first, end, hash of each) whose hash is not known yet."""
+    def runs(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), for runs of whole pieces of about REPLAY_BYTES, so that memory follows the run."""
+        found = [self.encode(text[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in slices(first, REPLAY_BYTES, len(first))]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    def learn(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Encodes the pieces of a corpus (text, width and hash of each) whose hash is not known yet."""
         texts, widths, names = [], [], []
-        for text, first, end, name in found:
+        for text, width, name in found:
+            first = np.cumsum(width, dtype=np.int64) - width
             name, one = np.unique(name, return_index=True)
             new = ~np.isin(name, self.known, assume_unique=True)
             name, one = name[new], one[new]
-            width = end[one] - first[one]
+            width = width[one].astype(np.int64)
             texts.append(text[np.repeat(first[one] - (np.cumsum(width) - width), width) + np.arange(width.sum())])
             widths.append(width)
             names.append(name)
@@ -248,7 +258,7 @@ class Replay:
             return
         w = width[one]
         text = text[np.repeat(at[one] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-        ids, n = self.encode(text, np.concatenate([[0], np.cumsum(w)]))
+        ids, n = self.runs(text, np.concatenate([[0], np.cumsum(w)]))
         lo = np.cumsum(n) - n + len(self.ids)
         order = np.argsort(np.concatenate([self.known, name]), kind="stable")
         self.known = np.concatenate([self.known, name])[order]
@@ -270,7 +280,7 @@ class Replay:
             other = np.flatnonzero(~same)
             w = (end - first)[other]
             own = text[np.repeat(first[other] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-            more, k = self.encode(own, np.concatenate([[0], np.cumsum(w)]))
+            more, k = self.runs(own, np.concatenate([[0], np.cumsum(w)]))
             lo[other], n[other] = np.cumsum(k) - k + len(ids), k
             ids = np.concatenate([ids, more])
         return lo, n, ids
@@ -279,14 +289,16 @@ class Replay:
         """For slices of documents i..j: their range, ids one behind the other, and number of ids of each document."""
         if len(self.known) > KEPT_PIECES:
             self.forget()
-        cuts, found = [(i + a, i + b) for a, b in slices(offsets[i : j + 1])], []
+        cuts, found = [(i + a, i + b) for a, b in slices(offsets[i : j + 1], SPLIT_BYTES)], []
         for a, b in cuts:
             text, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             first = pieces(text, bounds)
             end = np.append(first[1:], len(text))[: len(first)]
-            found.append((text, first, end, span_hashes(text, first, end)))
+            found.append((text, (end - first).astype(np.int32), span_hashes(text, first, end)))
         self.learn(found)
-        for (a, b), (text, first, end, name) in zip(cuts, found):
+        for (a, b), (text, width, name) in zip(cuts, found):
+            end = np.cumsum(width, dtype=np.int64)
+            first = end - width
             lo, n, ids = self.spans(text, first, end, name) if len(first) else (np.zeros(0, np.int64), np.zeros(0, np.int64), self.ids)
             ids = ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int32)
             total = np.concatenate([[0], np.cumsum(n)])

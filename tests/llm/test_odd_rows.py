@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,3 +105,18 @@ def test_one_very_long_piece(unit, times, monkeypatch):
     by_heap = encode(short).tolist()
     monkeypatch.setattr(byte_bpe, "LONG", 1 << 30)
     assert by_heap == encode(short).tolist() == own.encode_ordinary(short)
+
+
+def test_tokens_of_new_words_take_bounded_memory():
+    public = pytest.importorskip("public_tokenizers")
+    replay = byte_bpe.Replay(open(public.path(corpus_pipeline.RANKS), "rb").read())
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(w) for w in rng.choice(list("etaoinshrdlu"), (700, 9))).encode() for _ in range(1100)]  # nearly no word twice
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    for i, j in byte_bpe._corpora(offsets):
+        for a, b, ids, n in replay.corpus(data, offsets, i, j):
+            assert replay.decode(ids)[0].tobytes() == b"".join(texts[a:b])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(data)

@@ -5,10 +5,11 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from millrace.llm import queries, surrogates
+from millrace.llm import byte_bpe, queries, surrogates
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -127,6 +128,23 @@ def test_tokens_and_the_whole(spark, docs, sf_dir):
     assert sorted(map(key, step.collect())) == sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect()))
 
 
+def test_tokens_in_small_batches(spark, docs, sf_dir, monkeypatch):
+    def sizes(docs, path):
+        def of(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes], "rows": [b.num_rows]})
+
+        return docs.select("doc_id", "text").mapInArrow(of, "bytes long, rows long")
+
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(byte_bpe, "digests", sizes)
+    many = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', if(id = 7, 1000000, 1000)) AS text")
+    before = spark.conf.getAll
+    found = STAGES["tokens"](spark, many, sf_dir).collect()
+    assert spark.conf.getAll == before
+    assert sum(r.rows for r in found) == 3000 and len(found) > 5 and sum(r.bytes > 5 << 20 for r in found) <= 1
+
+
 def test_empty_table(spark, docs, sf_dir):
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, docs.where("false"), sf_dir).count() == 0, name
