@@ -1,11 +1,14 @@
-"""Caches with a literal clock, polls of targets, streams of tokens, damage to labels."""
+"""Caches with a literal clock, polls of targets, streams of tokens, damage to labels, a cube over odd rows and its memory."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.caches import LruCache, PeriodicGate, TtlCache
 from millrace.operators import metrics
 from millrace.operators import scan as S
+from millrace.plans import extensions
+from millrace.plans.catalog import oracle_sql
 from millrace.sources import scrape, scratch
 
 
@@ -72,3 +75,30 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.folder(Session)
+
+
+def test_cube_over_nulls_and_no_rows(spark, tmp_path):
+    columns = "l_returnflag string, l_linestatus string, l_partkey long"
+    rows = [("A", "F", 1), ("A", "F", 1), ("A", "O", 1), ("A", None, 2), (None, "F", 2), (None, None, None), ("R", "F", None), ("", "F", -3), ("R", "", 1 << 62)]
+    for name, some in (("odd", rows), ("none", [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(some, columns).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        want = duckdb.connect().execute(f"WITH lineitem AS (FROM '{at}/lineitem.parquet/*.parquet') " + oracle_sql()["ext_cube"]).fetchall()
+        got = [tuple(r) for r in extensions.ext_cube(spark, at).select("flag", "status", "level", "n", "parts").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and want, name
+
+
+def test_memory_of_a_task_of_the_cube_does_not_follow_its_rows(spark, tmp_path):
+    sc, most = spark.sparkContext, []
+    for n in (10_000, 1_000_000):  # one task reads them, each row is of a part of its own
+        at = str(tmp_path / str(n))
+        spark.range(0, n, 1, 1).select(F.col("id").alias("l_partkey"), (F.col("id") % 3).cast("string").alias("l_returnflag"), (F.col("id") % 2).cast("string").alias("l_linestatus")).write.parquet(f"{at}/lineitem.parquet")
+        sc.setJobGroup(at, at)
+        rows = extensions.ext_cube(spark, at).collect()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(rows) == 12 and [(r.n, r.parts) for r in rows if r.level == 3] == [(n, n)]
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        store, status = sc._jsc.sc().statusStore(), sc.statusTracker()
+        tasks = [store.taskList(k, 0, 1000) for job in status.getJobIdsForGroup(at) for k in status.getJobInfo(job).stageIds]
+        most.append(max(x.apply(i).taskMetrics().get().peakExecutionMemory() for x in tasks for i in range(x.size())))
+    assert 0 < most[1] < 1.5 * most[0], most
